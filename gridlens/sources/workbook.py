@@ -43,32 +43,35 @@ KINDS = {
 ROW = "workbook string, kind string, body string, data binary"
 
 
-def contents(name: str, data: bytes, shapes: bool = True) -> Iterator[tuple[str, str, str, bytes | None]]:
-    """(workbook, kind, JSON, bytes) of everything in a package; one ``error`` row for what cannot be read."""
+def contents(name: str, data: bytes, shapes: bool = True) -> list[tuple[str, str, str, bytes | None]]:
+    """(workbook, kind, JSON, bytes) of everything in a package; a package that cannot be read has one ``error`` row."""
+    try:
+        return list(_contents(name, data, shapes))
+    except package.PackageError as e:
+        return [(name, "error", json.dumps({"message": str(e)}, ensure_ascii=False), None)]
+
 
+def _contents(name: str, data: bytes, shapes: bool) -> Iterator[tuple[str, str, str, bytes | None]]:
     def row(kind: str, body: dict, raw: bytes | None = None):
         return name, kind, json.dumps(body, ensure_ascii=False), raw
 
-    try:
-        parts = package.unzip(data)
-        sheets, names = package.catalog(parts)
-        yield from (row("name", n) for n in names)
-        yield from (row("string", s) for s in package.shared_strings(parts))
-        yield from (row("style", s) for s in package.styles(parts))
-        for s in sheets:
-            yield row("sheet", s)
-            root = package.xml(parts.get(s["path"]))
-            if root is None:
-                raise package.PackageError(f"sheet XML not found: {s['path']}")
-            at, rels = {"sheet_index": s["sheet_index"]}, package.relationships(parts, s["path"])
-            for kind, found in (("cell", package.cell_rows(root)), ("merge", package.merge_rows(root)), ("link", package.hyperlink_rows(root, rels)), ("object", package.list_objects(parts, root, rels))):
-                yield from (row(kind, at | x | ({"sheet": s["name"]} if kind == "object" else {})) for x in found)
-            images, charts, drawn = package.drawings(parts, s["name"], s["path"])
-            yield from (row("image", at | x, parts[x["media"]]) for x in images)
-            yield from (row("chart", at | x) for x in charts)
-            yield from (row("shape", at | x) for x in (drawn if shapes else ()))
-    except package.PackageError as e:
-        yield row("error", {"message": str(e)})
+    parts = package.unzip(data)
+    sheets, names = package.catalog(parts)
+    yield from (row("name", n) for n in names)
+    yield from (row("string", s) for s in package.shared_strings(parts))
+    yield from (row("style", s) for s in package.styles(parts))
+    for s in sheets:
+        yield row("sheet", s)
+        root = package.xml(parts.get(s["path"]))
+        if root is None:
+            raise package.PackageError(f"sheet XML not found: {s['path']}")
+        at, rels = {"sheet_index": s["sheet_index"]}, package.relationships(parts, s["path"])
+        for kind, found in (("cell", package.cell_rows(root)), ("merge", package.merge_rows(root)), ("link", package.hyperlink_rows(root, rels)), ("object", package.list_objects(parts, root, rels))):
+            yield from (row(kind, at | x | ({"sheet": s["name"]} if kind == "object" else {})) for x in found)
+        images, charts, drawn = package.drawings(parts, s["name"], s["path"])
+        yield from (row("image", at | x, parts[x["media"]]) for x in images)
+        yield from (row("chart", at | x) for x in charts)
+        yield from (row("shape", at | x) for x in (drawn if shapes else ()))
 
 
 def unzip(files: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def scan(files: DataFrame, shapes: bool = True) -> DataFrame:
     def run(frames):
         for f in frames:
             for p, c in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame(list(contents(book_name(p), c, shapes)), columns=["workbook", "kind", "body", "data"])
+                yield pd.DataFrame(contents(book_name(p), c, shapes), columns=["workbook", "kind", "body", "data"])
 
     return files.select("path", "content").mapInPandas(run, ROW)
 
