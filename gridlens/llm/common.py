@@ -119,13 +119,13 @@ def _digest(edges: DataFrame) -> tuple:
     return r.n, r.h, r.g
 
 
-def map_text(df: DataFrame, start: Callable, added: str, chars: int = 2_000_000, inside: str | None = None) -> DataFrame:
+def map_text(df: DataFrame, start: Callable, added: str, chars: int = 2_000_000, inside: str | None = None, arrow_texts: bool = False, given: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with column ``text`` replaced by the columns of the DDL ``added``.
 
-    inside: the text is the field of that name of column ``row`` instead, and ``row`` stays (see :func:`packed`).
+    given: columns that the function gets as Arrow arrays besides.  inside: the text is the field of that name of column ``row`` instead, and ``row`` stays (see :func:`packed`).
 
     ``start()`` runs once a task and gives a function from a list of texts to a list of columns (lists or arrays).  It
-    sees about ``chars`` characters at a time, so memory follows the longest text and not the batch.  Other columns pass
+    sees about ``chars`` bytes at a time (as an Arrow array, if so asked), so memory follows the longest text and not the batch.  Other columns pass
     through as Arrow arrays, nulls and all.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -135,22 +135,24 @@ def map_text(df: DataFrame, start: Callable, added: str, chars: int = 2_000_000,
     new = T.StructType.fromDDL(added)
     schema = T.StructType([*keep, *new.fields])
     arrow = to_arrow_schema(schema)
+    conf, small = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(small) == "67108864b":  # Spark's own default: too much text at once for a small executor
+        conf.set(small, "8m")
     names, types = [f.name for f in keep], [f.type for f in to_arrow_schema(new)]
 
     def run(batches):
         work = start()
         for b in batches:
-            if field is None:
-                texts = b.column("text").to_pylist()
-            else:
-                texts = pc.struct_field(b.column("row"), [field]).to_pylist()
-            low, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= chars or i == len(texts) - 1:
-                    got = work(texts[low : i + 1])
-                    cols = [b.column(n).slice(low, i + 1 - low) for n in names]
-                    yield pa.RecordBatch.from_arrays([c.cast(arrow.field(n).type) for c, n in zip(cols, names, strict=True)] + [pa.array(g, t) for g, t in zip(got, types, strict=True)], schema=arrow)
-                    low, size = i + 1, 0
+            texts = b.column("text") if field is None else pc.struct_field(b.column("row"), [field])
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+            low = 0
+            while low < len(texts):
+                done = sizes[low - 1] if low else 0
+                high = max(low + 1, int(sizes.searchsorted(done + chars, side="right")))
+                part = texts.slice(low, high - low)
+                got = work(part if arrow_texts else part.to_pylist(), *[b.column(n).slice(low, high - low) for n in given])
+                cols = [b.column(n).slice(low, high - low) for n in names]
+                yield pa.RecordBatch.from_arrays([c.cast(arrow.field(n).type) for c, n in zip(cols, names, strict=True)] + [pa.array(g, t) for g, t in zip(got, types, strict=True)], schema=arrow)
+                low = high
 
     return df.mapInArrow(run, schema)

@@ -37,8 +37,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-store")
-    folder = token_store.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), scratch)
-    return token_store.read_tokens(folder, spark)
+    return token_store.read_tokens(*token_store.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), scratch))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ place in the body.  The ids of a shard lie in one bit plane for each bit of the
 into blocks of ``BLOCK`` bits, each a zstandard frame, with the number of ones before it (the rank directory), so a
 lookup inflates one block a plane.  Further arrays: the documents' ids and the ends of their tokens.
 
-How it scales: encoding is a map; the one shuffle sorts encoded documents by doc_id into ranges; a task streams its range
-into files of about ``SHARD`` tokens and holds one at a time.  A file is written under a name of its own and then
+How it scales: encoding is a map; the one shuffle deals encoded documents to ranges of doc_id, whose bounds are quantiles
+taken before; a task sorts its range and streams it into files of about ``SHARD`` tokens, one in memory at a time.  A file is written under a name of its own and then
 renamed, so a task that runs twice leaves one whole file.  Readers take files through Spark's binaryFile source.
 """
 
@@ -17,10 +17,13 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +32,11 @@ from .common import Scratch, map_text
 from .token_counts import tokenizer
 
 BLOCK = 1 << 18
+STEP = 1 << 15
 SHARD = 2_000_000
-CACHE = 400_000
+RANGE_ROWS = 2_000
+MOST_RANGES = 20_000
+CACHE = 600_000
 MAGIC = b"WMX1"
 
 
@@ -66,7 +72,7 @@ class WaveletMatrix:
         n_blocks = -(-len(ids) // BLOCK)
         planes, frames, ranks, zeros = [], [0], np.zeros((bits, n_blocks + 1), np.int64), []
         for level in range(bits):
-            plane = (now >> (bits - 1 - level) & 1).astype(bool)
+            plane = (now & now.dtype.type(1 << (bits - 1 - level))).astype(bool)
             packed = np.packbits(plane)
             for b in range(n_blocks):
                 part = packed[b * BLOCK // 8 : (b + 1) * BLOCK // 8]
@@ -74,7 +80,8 @@ class WaveletMatrix:
                 planes.append(pack.compress(part.tobytes()))
                 frames.append(frames[-1] + len(planes[-1]))
             zeros.append(len(now) - int(ranks[level, -1]))
-            now = np.concatenate([now[~plane], now[plane]])
+            cuts = range(0, len(now), STEP)  # steps that stay in a core's cache
+            now = np.concatenate([now[a : a + STEP].compress(bits_of[a : a + STEP]) for bits_of in (~plane, plane) for a in cuts] or [now])
         nulls = np.array([d is None for d in doc_ids], np.uint8)
         arrays = {
             "ranks": ranks, "frames": np.array(frames, np.int64), "ends": np.asarray(ends, np.int64),
@@ -169,10 +176,16 @@ class WaveletMatrix:
         n_blocks = self.ones_before.shape[1] - 1
         for level in reversed(range(self.bits)):
             raw = b"".join(self.inflate.decompress(bytes(self.body[self.frames[k] : self.frames[k + 1]])) for k in range(level * n_blocks, (level + 1) * n_blocks))
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
-            before = np.empty(self.n, kind)
-            before[~ones] = now[: self.zeros[level]]
-            before[ones] = now[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
+            before, zero, one = np.empty(self.n, kind), 0, self.zeros[level]
+            now[one:] |= kind(1 << (self.bits - 1 - level))
+            for a in range(0, self.n, STEP):
+                part, out = ones[a : a + STEP], before[a : a + STEP]
+                high = np.flatnonzero(part)
+                low = np.flatnonzero(~part)
+                out[low] = now[zero : zero + len(low)]
+                out[high] = now[one : one + len(high)]
+                zero, one = zero + len(low), one + len(high)
             now = before
         return now
 
@@ -185,65 +198,107 @@ class WaveletMatrix:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
+    """Ids of whole texts by the tokenizers library, which sees a piece again only when it has been forgotten.
 
-    A text is cut before every space that has no white space beside it.  A byte-level tokenizer's own pattern never
-    crosses such a place, and special strings hold no space, so the pieces' ids, joined, are the text's.  A text with
-    two neighbouring white-space characters goes to the library whole.  At most CACHE pieces are held.
+    A text is cut before single spaces, around single line ends, and before commas and full stops that follow a letter or
+    digit and precede white space.  A byte-level tokenizer's own pattern never crosses such a place, so the pieces' ids,
+    joined, are the text's.  Where that is not certain, pieces are cut at spaces alone (no two together), or the library
+    gets the text whole.  Cutting and telling pieces apart is Arrow's work, joining numpy's.
     """
 
-    odd = re.compile(r"[\s᠎​﻿]{2}")
+    #: White space other than space and line end, the cutting mark, marks or spaces side by side.
+    odd = "[\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[.,][.,]|  "
+    #: Letters, with a space in front or not, and ASCII marks behind (no apostrophe): for the tokenizer's pattern too they
+    #: are one piece or two, so its merges can be asked directly.
+    word = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
+        self.model, byte_level = self.tok.model, self.tok.normalizer is None and "use_regex=True" in str(self.tok.pre_tokenizer)
+        if not byte_level:
+            raise ValueError("only a byte-level tokenizer's texts can be cut")
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        size = 1 + max(self.tok.get_vocab(with_added_tokens=True).values())
-        self.opens = np.zeros(size, bool)
-        for token, i in self.tok.get_vocab(with_added_tokens=True).items():
-            self.opens[i] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that open with a space and hold no other go to the library joined: their first tokens tell them apart."""
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, self.kind)
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) != len(part) or (len(first) and first[0]):
-                for p in part:
-                    self.known[p] = self._one(p)
-                continue
-            raw, ends = ids.tobytes(), [*(first[1:] * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-            start = 0
-            for p, end in zip(part, ends, strict=True):
-                self.known[p] = raw[start:end]
-                start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        cuts: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for t in texts:
-            if self.odd.search(t) or t[:1].isspace() or t[-1:].isspace():
-                cuts.append(None)
-                continue
-            first, *rest = t.split(" ")
-            pieces = [" " + p for p in rest]
-            cuts.append([first, *pieces])
-            new.update(dict.fromkeys(p for p in pieces if p not in known))
-        self._learn(list(new))
-        out = []
-        for t, pieces in zip(texts, cuts, strict=True):
-            if pieces is None:
-                out.append(self._one(t))
-            else:
-                head = self._one(pieces[0]) if pieces[0] else b""
-                out.append(head + b"".join(map(known.__getitem__, pieces[1:])))
+        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        # pieces of the first CACHE stay, the latest are forgotten together when they are as many
+        self.known: dict[str, int] = {}
+        self.latest: dict[str, int] = {}
+        self.tokens, self.stops, self.doubt = array(self.kind.char), array("q", [0]), bytearray()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _learn(self, piece: str) -> int:
+        if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            self.tokens.extend([t.id for t in self.model.tokenize(piece.replace(" ", "Ġ"))])
+            self.doubt.append(False)
+        else:
+            simple = self.word.fullmatch(piece)
+            if simple:
+                for part in simple.groups():
+                    if part:
+                        self.tokens.extend([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))])
+            elif piece:
+                self.tokens.extend(self.tok.encode(piece, add_special_tokens=False).ids)
+            # beside a fine cut there must be a mark alone, or a letter or digit
+            self.doubt.append(piece not in (".", ",", "\n") and (piece in ("", " ") or piece[0] in ".," or not piece[-1].isalnum()))
+        self.stops.append(len(self.tokens))
+        return len(self.doubt) - 1
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where each piece's ids stand."""
+        known, latest = self.known, self.latest
+        if len(latest) > CACHE:
+            latest.clear()
+            del self.doubt[len(known) :], self.stops[len(known) + 1 :]
+            del self.tokens[self.stops[-1] :]
+        place = list(map(known.get, pieces))
+        into = latest if len(known) > CACHE else known
+        for i in [i for i, x in enumerate(place) if x is None]:
+            p = pieces[i]
+            place[i] = latest.get(p)
+            if place[i] is None:
+                place[i] = into[p] = self._learn(p)
+        return np.array(place, np.int64)
+
+    def _cut(self, texts: pa.Array, fine: bool) -> list[np.ndarray | None]:
+        """The ids of each text, None where fine cuts are uncertain."""
+        if not len(texts):
+            return []
+        for c in (".", ",") if fine else ():
+            texts = pc.replace_substring(texts, c, "\x01" + c)
+        if fine:
+            texts = pc.replace_substring(texts, "\n", "\x01\n\x01")
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\x01 "), "\x01")
+        told = lists.flatten().dictionary_encode()
+        pieces, codes = told.dictionary.to_pylist(), told.indices.to_numpy()
+        place = self._places(pieces)
+        stops = np.frombuffer(self.stops, np.int64)
+        starts, sizes = stops[place], stops[place + 1] - stops[place]
+        doubt = np.frombuffer(self.doubt, np.uint8)[place].astype(bool)
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(self.tokens, self.kind)[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], n)]
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        unsure = np.logical_or.reduceat(doubt[codes], cuts[:-1]).tolist() if fine else [False] * len(texts)
+        at = ends[cuts].tolist()
+        del stops  # a view; the arrays grow again
+        return [None if u else ids[a:b] for u, a, b in zip(unsure, at, at[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        out: list[np.ndarray | None] = [None] * len(texts)
+        odd = pc.match_substring_regex(texts, self.odd)
+        fine = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        for i, x in zip(fine.tolist(), self._cut(texts.take(pa.array(fine)), True), strict=True):
+            out[i] = x
+        rest = np.array([i for i, x in enumerate(out) if x is None], np.int64)
+        double = pc.match_substring(texts.take(pa.array(rest)), "  ").to_numpy(zero_copy_only=False)
+        for i in rest[double].tolist():
+            out[i] = self.whole(texts[i].as_py())
+        for i, x in zip(rest[~double].tolist(), self._cut(texts.take(pa.array(rest[~double])), False), strict=True):
+            out[i] = x
         return out
 
 
@@ -254,25 +309,29 @@ def _encoder(path: str) -> PieceEncoder:
     return _encoders.get(path) or _encoders.setdefault(path, PieceEncoder(path))
 
 
-def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0, shard: int = SHARD) -> str:
+def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0, shard: int = SHARD) -> tuple[str, DataFrame]:
     """Writes the ids of ``docs(doc_id, text)`` in ascending doc_id order (nulls first, equal ids by text) and returns the
-    folder.  A null text is empty; every document ends in end_id.  An empty table gives a folder without files."""
+    folder and (task, part, n): each file and its tokens.  A null text is empty; every document ends in end_id.  An empty table gives a folder without files."""
     from pyarrow import fs
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    # ranges of doc_id of about as many rows, from mergeable quantile sketches; a task cuts its range into shards by tokens
+    count = rows.count()
+    ranges = max(1, min(MOST_RANGES, -(-count // RANGE_ROWS)))
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
+    bounds = np.unique(np.array(bounds or [], np.int64))
+
     def encode():
         enc = _encoder(path)
-        end = np.array([end_id], enc.kind).tobytes()
+        end = np.array([end_id], enc.kind)
 
-        def run(texts):
-            ids = [x + end for x in enc.encode([t or "" for t in texts])]
-            return [[len(x) // enc.kind.itemsize for x in ids], ids]
+        def run(texts, doc_ids):
+            ids = [np.concatenate([x, end]).tobytes() for x in enc.encode(texts)]
+            return [bounds.searchsorted(pc.fill_null(doc_ids, -(1 << 63)).to_numpy(zero_copy_only=False)).astype(np.int32), ids]
 
         return run
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    encoded = scratch.table(map_text(rows, encode, "n_tokens long, ids binary"), "encoded")
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, -(-total // shard))
+    encoded = map_text(rows, encode, "range int, ids binary", chars=8_000_000, arrow_texts=True, given=("doc_id",))
     folder = scratch.path("tokens")
     where = scratch.uri(folder)
     out, inside = fs.FileSystem.from_uri(where)
@@ -307,16 +366,14 @@ def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0,
             close()
             yield pd.DataFrame({"task": [task], "part": [part], "n": [size]})
 
-    ordered = encoded.select("doc_id", "tie", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie")
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    scratch.table(ordered.mapInPandas(write, "task int, part int, n long"), "files")
-    scratch.drop(encoded)
-    return folder
+    ordered = encoded.repartitionById(len(bounds) + 1, "range").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    return folder, scratch.table(ordered.mapInPandas(write, "task int, part int, n long"), "files")
 
 
-def read_tokens(docs_folder: str, spark) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wmx").schema("path string, modificationTime timestamp, length long, content binary").load(docs_folder)
+def read_tokens(folder: str, made: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a folder; ``made`` as from write_tokens."""
+    spark = made.sparkSession
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wmx").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
     def read(frames):
         for f in frames:
@@ -327,16 +384,10 @@ def read_tokens(docs_folder: str, spark) -> DataFrame:
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out.assign(task=m.head["task"], part=m.head["part"])
 
-    def sizes(frames):
-        for f in frames:
-            heads = [json.loads(d[8 : 8 + struct.unpack_from("<I", d, 4)[0]]) for d in f["content"]]
-            yield pd.DataFrame([(h["task"], h["part"], h["n"]) for h in heads], columns=["task", "part", "n"])
-
-    by_file = files.select("content").mapInPandas(sizes, "task int, part int, n long")
     # one number a task of the writer, then one a file
-    tasks = by_file.groupBy("task").agg(F.sum("n").alias("n"))
+    tasks = made.groupBy("task").agg(F.sum("n").alias("n"))
     tasks = tasks.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("task_base"))
-    base = by_file.select("task", "part", F.coalesce(F.sum("n").over(Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_base")).join(tasks, "task")
+    base = made.select("task", "part", F.coalesce(F.sum("n").over(Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_base")).join(tasks, "task")
     rows = files.select("content").mapInPandas(read, "doc_id long, at long, n_tokens long, ids_crc32 long, task int, part int")
     return rows.join(base, ["task", "part"]).select(
         "doc_id", (F.col("task_base") + F.col("part_base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
