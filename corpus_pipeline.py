@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Wavelet matrices of the token ids, read back: doc_id, start, n_tokens, ids_crc32 (operator 3)."""
     scratch = Scratch(spark, "pipeline-tokens")
-    return token_store.read_tokens(token_store.write_tokens(docs, queries.tokenizer_path("byte_bpe_50k.json"), scratch), spark)
+    return token_store.read_tokens(*token_store.write_tokens(docs, queries.tokenizer_path("byte_bpe_50k.json"), scratch))
 
 
 STAGES = [("quality", good), ("near-duplicates", unique), ("decontamination", unseen), ("mixing", mix), ("tokens", tokens)]
