@@ -23,7 +23,7 @@ from .common import map_text, packed, unpacked
 PER_CLASS = 1_500
 ROW_CHARS = 20_000
 BLOCK = 1_024
-DICTIONARY = 262_144
+DICTIONARY = 1 << 20
 LEVEL = 3
 
 
@@ -81,11 +81,18 @@ class QualityModel:
 
     @staticmethod
     def _dictionary(texts: list[str]) -> bytes:
-        parts = [b for t in texts for b in blocks(t, 1024)]
-        try:
-            return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:  # too little text for the trainer: the text itself is the dictionary
-            return b"".join(parts)[-DICTIONARY:]
+        """Plain content: the texts' first blocks, then their second ones, and so on until it is full.  (The library's own
+        trainer gives dictionaries of a few hundred bytes to all that it may, by chance of the sample.)"""
+        parts, size = [], 0
+        for k in range(-(-ROW_CHARS * 4 // BLOCK)):
+            for t in texts:
+                piece = t[k * BLOCK : (k + 1) * BLOCK].encode("utf-8", "surrogatepass")
+                if piece and size < DICTIONARY:
+                    parts.append(piece)
+                    size += len(piece)
+            if size >= DICTIONARY:
+                break
+        return b"".join(reversed(parts))[-DICTIONARY:]
 
     def _open(self) -> None:
         self.pack, options = {}, {"level": LEVEL, "write_content_size": False, "write_dict_id": False}
