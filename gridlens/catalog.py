@@ -293,7 +293,7 @@ def fn_is_predicates(spark, sf_dir):
     return out.select("event_id", "blank", "num_of_text", "txt", "num", "na", "err")
 
 
-@query("""select l_orderkey, l_linenumber, l_quantity / 3 * 100 as a, l_quantity || '|' || l_returnflag as b, l_quantity <= l_discount * 300 as c, -l_tax as d, l_quantity * 0.01 as pct,
+@query("""select l_orderkey, l_linenumber, l_quantity / 3 * 100 as a, l_quantity || '|' || l_returnflag as b, l_quantity <= l_discount * 300 as c, -l_tax as d, l_quantity / 100 as pct,
     case when l_tax = 0 then 'Infinity' else 'finite' end as by_zero from (select *, l_quantity::bigint as q from lineitem)""".replace("l_quantity || '|'", "q || '|'"))
 def fn_operators(spark, sf_dir):
     out = project(table(spark, sf_dir, "lineitem"), a="=[l_quantity]/3*100", b='=[l_quantity]&"|"&[l_returnflag]', c="=[l_quantity]<=[l_discount]*300", d="=-[l_tax]", pct="=[l_quantity]%", q="=1/[l_tax]")
