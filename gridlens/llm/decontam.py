@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Pass 1 counts, over all documents, in how many each n-gram of the benchmark occurs.  Every window of ``WINDOW`` successive
-n-grams of an item gives its rarest as a seed, so each part of an item has one and common phrases are seeds only where an
-item has nothing else.  Pass 2 finds the seeds in every whole text and aligns the words around them with the item.
+Pass 1 counts, over all documents, in how many each n-gram of the benchmark occurs.  Those that occur and are rare are
+seeds; a window of ``WINDOW`` successive n-grams of an item without a rare one gives its two rarest, so each part of an item
+has seeds and common phrases are seeds only where an item has nothing else.  Pass 2 finds the seeds in every whole text and aligns the words around them with the item.
 
 How it scales: both passes are maps over the documents; what they shuffle are counts of the benchmark's n-grams.  The
 benchmark is a stated query set: it is taken in blocks of at most ``BLOCK`` bytes, each carried to the tasks, whatever
@@ -21,6 +21,7 @@ from .common import map_text, packed, unpacked
 
 N = 3
 WINDOW = 6
+RARE, RARE_SHARE = 16, 0.001  # an n-gram is rare in at most so many documents, or that share of them
 LEAST = 0.5
 BLOCK = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -90,13 +91,22 @@ class Block:
         hit = among[k] == g[at]
         return at[hit], k[hit]
 
-    def seeds(self, counts: dict[int, int], window: int = WINDOW) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """(sorted codes of the seeds, for each of them its (item, position) places)."""
+    def seeds(self, counts: dict[int, int], most: int = 0, window: int = WINDOW) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """(sorted codes of the seeds, for each of them its (item, position) places).
+
+        counts: in how many documents each n-gram occurs; those that occur nowhere are no seeds, whatever their rarity (an
+        edited copy lacks them too).  Every n-gram in at most ``most`` documents is one; a window without such gives its two
+        rarest.
+        """
         places: dict[int, set[tuple[int, int]]] = {}
         for k, grams in enumerate(self.item_grams):
             rarity = [(counts.get(int(g), 0), p) for p, g in enumerate(grams)]
+            chosen = {p for n, p in rarity if 0 < n <= most}
             for low in range(max(1, len(grams) - window + 1)) if len(grams) else ():
-                _, p = min(rarity[low : low + window])
+                here = rarity[low : low + window]
+                if not any(0 < n <= most for n, _ in here):
+                    chosen |= {p for _, p in sorted(r for r in here if r[0])[:2]}
+            for p in chosen:
                 places.setdefault(int(grams[p]), set()).add((k, p))
         codes = sorted(places)
         return np.array(codes, np.int64), [sorted(places[c]) for c in codes]
@@ -160,7 +170,7 @@ def with_leaks(rows: DataFrame, benchmark: DataFrame, least: float = LEAST, wind
                 for t in texts:
                     seen[np.unique(block.found(block.read(t), block.grams_all)[1])] += 1
                 k = np.flatnonzero(seen)
-                pairs = [{"gram": int(block.grams_all[i]), "n": int(seen[i])} for i in k]
+                pairs = [{"gram": int(block.grams_all[i]), "n": int(seen[i])} for i in k] + [{"gram": -1, "n": len(texts)}]
                 return [[pairs, *[[]] * (len(texts) - 1)]]
 
             return run
@@ -168,7 +178,8 @@ def with_leaks(rows: DataFrame, benchmark: DataFrame, least: float = LEAST, wind
         text = F.col("row").getField([f.name for f in rows.schema["row"].dataType.fields if f.name.lower() == inside][0]) if inside else F.col("text")
         counted = map_text(rows.select(text.cast("string").alias("text")), count, "counts array<struct<gram:bigint,n:bigint>>")
         counted = counted.select(F.explode("counts").alias("c")).groupBy("c.gram").agg(F.sum("c.n").alias("n"))
-        codes, places = block.seeds({r.gram: r.n for r in counted.collect()}, window)  # no more rows than the block has n-grams
+        counts = {r.gram: r.n for r in counted.collect()}  # no more rows than the block has n-grams, and the documents
+        codes, places = block.seeds(counts, max(RARE, int(counts.pop(-1, 0) * RARE_SHARE)), window)
 
         def find(block=block, codes=codes, places=places):
             def run(texts):
