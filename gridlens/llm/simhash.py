@@ -12,7 +12,7 @@ equal, so it is the join key (one for each of the m starts); pairs in a bucket t
 only those get the full check.
 
 How it scales: copies collapse to one fingerprint first, by partial aggregation.  A bucket gives a spanning forest of its
-links, never its pairs.  Buckets above ``CAP`` go another exact way: for Hamming distances up to 2 through the
+links, never its pairs.  Buckets above ``CAP`` (``CROWD`` for similarities) go another exact way: for Hamming distances up to 2 through the
 fingerprints one bit away, which two such neighbours share (65 rows a fingerprint, no pairs); for similarities through
 longer chains, then in blocks.  Components come from :func:`common.connected_components`.
 """
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, map_text, packed, unpacked
 
 SEED = 42
-CAP = 1_000
+CAP = 1_000  # fingerprints a bucket
+CROWD = 4_000  # sketches a bucket: two megabytes
 CELLS = 16
 SKETCH = 512
 
@@ -61,24 +62,31 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def _forest(n: int, near) -> list[tuple[int, int]]:
+def _forest(n: int, near, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest.  ``near(i, rest)``: which of the positions ``rest`` are linked to i.  What already hangs
-    together is not compared again, so a tight group costs little more than its size."""
+    together is not compared again, so a tight group costs little more than its size; equal labels hang together from the
+    start."""
+    label = np.arange(n) if label is None else label
     rest, out = np.arange(n), []
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        own = label[rest] == label[rest[0]]
+        queue, rest = rest[own].tolist(), rest[~own]
         while queue and len(rest):
             i = queue.pop()
             hit = near(i, rest)
             if hit.any():
-                queue += rest[hit].tolist()
-                out += [(i, j) for j in rest[hit].tolist()]
-                rest = rest[~hit]
+                found = rest[hit]
+                _, first = np.unique(label[found], return_index=True)  # one edge joins all of a label
+                out += [(i, int(j)) for j in found[first]]
+                reached = np.isin(label[rest], label[found])
+                queue += rest[reached].tolist()
+                rest = rest[~reached]
     return out
 
 
 def _links(rows: DataFrame, near, values: list[str]) -> DataFrame:
-    """(a, b): spanning forests of the links inside each bucket of ``rows(bucket, node, *values)``.
+    """(a, b): spanning forests of the links inside each bucket of ``rows(bucket, node, label, *values)``; equal labels are
+    linked already.
 
     ``near``: from a bucket's value arrays to the function that :func:`_forest` takes.  Buckets are bounded by the callers.
     """
@@ -87,13 +95,13 @@ def _links(rows: DataFrame, near, values: list[str]) -> DataFrame:
         held: pd.DataFrame | None = None
 
         def links(f: pd.DataFrame) -> pd.DataFrame:
-            bucket, node = f["bucket"].to_numpy(), f["node"].to_numpy()
+            bucket, node, label = f["bucket"].to_numpy(), f["node"].to_numpy(), f["label"].to_numpy()
             cols = [f[v].to_numpy() for v in values]
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(f)]
             a, b = [], []
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if high - low > 1:
-                    for x, y in _forest(high - low, near(*[c[low:high] for c in cols])):
+                    for x, y in _forest(high - low, near(*[c[low:high] for c in cols]), label[low:high]):
                         a.append(node[low + x])
                         b.append(node[low + y])
             return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -156,7 +164,7 @@ def _hamming_links(prints: DataFrame, most: int, scratch: Scratch, cap: int, seg
 
         return hit
 
-    found = _links(sized.where(F.col("n") <= cap).select("bucket", "node", F.col("node").alias("value"), "start"), near, ["value", "start"])
+    found = _links(sized.where(F.col("n") <= cap).select("bucket", "node", F.col("node").alias("label"), F.col("node").alias("value"), "start"), near, ["value", "start"])
     crowded = sized.where(F.col("n") > cap).select("node").distinct()
     if most > 2:
         raise ValueError("crowded buckets have an exact way for up to 2 bits only")
@@ -254,11 +262,14 @@ def similar(sketches: np.ndarray, least: float):
 
 def _chain_keys(columns: DataFrame, patterns: list[tuple[int, ...]]) -> DataFrame:
     """(bucket, node): a key for each start on the ring and each pattern of segments that must be equal."""
-    keys = [F.xxhash64(F.lit(i), F.lit(p), *[F.col("segs")[(i + s) % CELLS] for s in pattern]) for i in range(CELLS) for p, pattern in enumerate(patterns)]
-    return columns.select("node", F.explode(F.array_distinct(F.array(*keys))).alias("bucket"))
+    chosen = F.array(*[F.array(*map(F.lit, p)) for p in patterns])
+    segment = lambda i, s: F.element_at("segs", (i + s) % CELLS + 1)
+    key = lambda i, p: F.xxhash64(i, p, F.transform(p, lambda s: segment(i, s)))
+    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(chosen, lambda p: key(i, p))))
+    return columns.select("node", F.explode(F.array_distinct(keys)).alias("bucket"))
 
 
-def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CAP, scratch: Scratch | None = None) -> DataFrame:
+def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, tie (xxhash64 of the text), component (long) and first (boolean) for each distinct doc_id and text.
 
     Classes are connected components of pairs whose sets of word shingles have a Jaccard similarity of at least
@@ -290,19 +301,26 @@ def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     def near(sketch):
         return similar(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), SKETCH), similarity)
 
-    links = _links(work.join(nodes.select("node", "sketch"), "node"), near, ["sketch"])
-    classes = connected_components(links, scratch)
+    # first an eighth of the buckets; then all, where more than one class meets and only between classes: a large tight
+    # group is linked once and not in every bucket that it fills
+    sketch, some = nodes.select("node", "sketch"), F.pmod("bucket", F.lit(8)) == 0
+    early = scratch.table(_links(work.where(some).withColumn("label", F.col("node")).join(sketch, "node"), near, ["sketch"]), "early")
+    told = work.join(connected_components(early, scratch), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    told = scratch.table(told, "told")
+    open_ = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    late = _links(told.join(open_, "bucket", "left_semi").join(sketch, "node"), near, ["sketch"])
+    classes = connected_components(early.union(late), scratch)
     seen = rows.groupBy("doc_id", "tie").agg(F.first("node").alias("node"))
     seen = seen.join(classes, "node", "left").select("doc_id", "tie", F.coalesce("component", "node").alias("component"))
     seen = scratch.table(seen, "seen")
-    scratch.drop(sized, more, work, nodes, sketches)
+    scratch.drop(sized, more, work, told, early, nodes, sketches)
     # the row to keep by partial aggregation: a class may hold a third of all rows
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tie"))
     least = scratch.table(seen.groupBy("component").agg(F.min(key).alias("keep")), "least")
     return seen.join(least, "component").select("doc_id", "tie", "component", key.eqNullSafe(F.col("keep")).alias("first"))
 
 
-def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CAP) -> DataFrame:
+def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CROWD) -> DataFrame:
     """The rows of ``docs`` that stay when each class of :func:`similarity_classes` keeps one document, with all columns
     of ``docs`` whatever their names.  Of rows equal in doc_id and text one stays (any of them)."""
     first = similarity_classes(docs, width, similarity, cap).where("first").select(F.col("doc_id").alias("keep_id"), F.col("tie").alias("keep_tie"))

@@ -70,7 +70,7 @@ def test_similar_documents_keep_one(spark):
     pairs = brute.similar_pairs(list(enumerate(texts)), 5)
     sure = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.84])
     loose = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.76])
-    for cap in (simhash.CAP, 3):
+    for cap in (simhash.CROWD, 3):
         kept = {r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()}
         for d in range(len(texts)):
             if d != sure[d]:
