@@ -36,7 +36,7 @@ STEP = 1 << 15
 SHARD = 2_000_000
 RANGE_ROWS = 2_000
 MOST_RANGES = 20_000
-CACHE = 600_000
+CACHE = 1_500_000
 MAGIC = b"WMX1"
 
 
@@ -198,7 +198,7 @@ class WaveletMatrix:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees a piece again only when it has been forgotten.
+    """Ids of whole texts by the tokenizers library, which sees a piece again only when CACHE others have made it forgotten.
 
     A text is cut before single spaces, around single line ends, and before commas and full stops that follow a letter or
     digit and precede white space.  A byte-level tokenizer's own pattern never crosses such a place, so the pieces' ids,
@@ -221,9 +221,12 @@ class PieceEncoder:
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-        # pieces of the first CACHE stay, the latest are forgotten together when they are as many
-        self.known: dict[str, int] = {}
-        self.latest: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces are known by 128 bits of hash, not by text: three numbers each, and the ids."""
+        none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.levels = [none, none]  # sorted by the first hash: all but the newest, the newest
         self.tokens, self.stops, self.doubt = array(self.kind.char), array("q", [0]), bytearray()
 
     def whole(self, text: str) -> np.ndarray:
@@ -248,19 +251,36 @@ class PieceEncoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where each piece's ids stand."""
-        known, latest = self.known, self.latest
-        if len(latest) > CACHE:
-            latest.clear()
-            del self.doubt[len(known) :], self.stops[len(known) + 1 :]
-            del self.tokens[self.stops[-1] :]
-        place = list(map(known.get, pieces))
-        into = latest if len(known) > CACHE else known
-        for i in [i for i, x in enumerate(place) if x is None]:
-            p = pieces[i]
-            place[i] = latest.get(p)
-            if place[i] is None:
-                place[i] = into[p] = self._learn(p)
-        return np.array(place, np.int64)
+        if len(self.doubt) > CACHE:
+            self._forget()
+        texts = np.array(pieces, object)
+        one, two = (pd.util.hash_array(texts, hash_key=k, categorize=False) for k in ("pieces of texts.", "and once more..."))
+        order = np.argsort(one)  # lookups in order stay in the cache
+        asked, check, place = one[order], two[order], np.full(len(pieces), -1, np.int64)
+        for known, known_check, at in self.levels:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = (known[i] == asked) & (known_check[i] == check)
+                place[hit] = at[i[hit]]
+        new = np.flatnonzero(place < 0)
+        place[new] = [self._learn(pieces[i]) for i in order[new].tolist()]
+        self._remember(asked[new], check[new], place[new])
+        out = np.empty(len(pieces), np.int64)
+        out[order] = place
+        return out
+
+    def _remember(self, *new: np.ndarray) -> None:
+        old, recent = self.levels
+        recent = self._merged(recent, new)
+        if len(recent[0]) > 1 << 17:
+            old, recent = self._merged(old, recent), tuple(x[:0] for x in recent)
+        self.levels = [old, recent]
+
+    @staticmethod
+    def _merged(a, b):
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
 
     def _cut(self, texts: pa.Array, fine: bool) -> list[np.ndarray | None]:
         """The ids of each text, None where fine cuts are uncertain."""
@@ -294,7 +314,7 @@ class PieceEncoder:
         for i, x in zip(fine.tolist(), self._cut(texts.take(pa.array(fine)), True), strict=True):
             out[i] = x
         rest = np.array([i for i, x in enumerate(out) if x is None], np.int64)
-        double = pc.match_substring(texts.take(pa.array(rest)), "  ").to_numpy(zero_copy_only=False)
+        double = pc.match_substring_regex(texts.take(pa.array(rest)), "  |\\x01").to_numpy(zero_copy_only=False)
         for i in rest[double].tolist():
             out[i] = self.whole(texts[i].as_py())
         for i, x in zip(rest[~double].tolist(), self._cut(texts.take(pa.array(rest[~double])), False), strict=True):
@@ -331,7 +351,7 @@ def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0,
 
         return run
 
-    encoded = map_text(rows, encode, "range int, ids binary", chars=8_000_000, arrow_texts=True, given=("doc_id",))
+    encoded = map_text(rows, encode, "range int, ids binary", chars=4_000_000, arrow_texts=True, given=("doc_id",))
     folder = scratch.path("tokens")
     where = scratch.uri(folder)
     out, inside = fs.FileSystem.from_uri(where)

@@ -68,7 +68,7 @@ def test_wavelet_matrix():
 
 def test_pieces_equal_the_library():
     e, rng = token_store.PieceEncoder(BYTES), random.Random(3)
-    parts = [*"ab.,' \n\t#é1!?-ß|<>", "'s", " b", ". ", ", ", "don't", "<|endoftext|>", "  ", "　", " the", "日本"]
+    parts = [*"ab.,' \n\t#é1!?-ß|<>", "'s", " b", ". ", ", ", "don't", "<|endoftext|>", "\x01", "  ", "　", " the", "日本"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5_000)]
     got = e.encode(pa.array(texts))
     assert [g.tolist() for g in got] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
