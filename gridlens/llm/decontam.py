@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Pass 1 counts, over all documents, in how many each n-gram of the benchmark occurs.  Those that occur and are rare are
-seeds; a window of ``WINDOW`` successive n-grams of an item without a rare one gives its two rarest, so each part of an item
-has seeds and common phrases are seeds only where an item has nothing else.  Pass 2 finds the seeds in every whole text and aligns the words around them with the item.
+Every n-gram of an item is a seed, whatever its count: rare ones are just those that edited copies of a text with many
+copies lost.  One pass finds the seeds in every whole text and aligns the words around them with the item.  A copy that
+shares no three successive words with the item has no seed and is not found.
 
-How it scales: both passes are maps over the documents; what they shuffle are counts of the benchmark's n-grams.  The
+How it scales: a map over the documents, which shuffles nothing.  The
 benchmark is a stated query set: it is taken in blocks of at most ``BLOCK`` bytes, each carried to the tasks, whatever
 its size.
 """
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from .common import map_text, packed, unpacked
 
 N = 3
-WINDOW = 6
-RARE, RARE_SHARE = 16, 0.001  # an n-gram is rare in at most so many documents, or that share of them
+WINDOW = 6  # no stretch of so many n-grams of an item is without a seed
 LEAST = 0.5
 BLOCK = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -91,25 +90,16 @@ class Block:
         hit = among[k] == g[at]
         return at[hit], k[hit]
 
-    def seeds(self, counts: dict[int, int], most: int = 0, window: int = WINDOW) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """(sorted codes of the seeds, for each of them its (item, position) places).
-
-        counts: in how many documents each n-gram occurs; those that occur nowhere are no seeds, whatever their rarity (an
-        edited copy lacks them too).  Every n-gram in at most ``most`` documents is one; a window without such gives its two
-        rarest.
-        """
-        places: dict[int, set[tuple[int, int]]] = {}
+    def seeds(self, counts: dict[int, int] | None = None) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """(sorted codes of the seeds, for each of them its (item, position) places): all n-grams, or where counts of
+        documents are given those that occur."""
+        places: dict[int, list[tuple[int, int]]] = {}
         for k, grams in enumerate(self.item_grams):
-            rarity = [(counts.get(int(g), 0), p) for p, g in enumerate(grams)]
-            chosen = {p for n, p in rarity if 0 < n <= most}
-            for low in range(max(1, len(grams) - window + 1)) if len(grams) else ():
-                here = rarity[low : low + window]
-                if not any(0 < n <= most for n, _ in here):
-                    chosen |= {p for _, p in sorted(r for r in here if r[0])[:2]}
-            for p in chosen:
-                places.setdefault(int(grams[p]), set()).add((k, p))
+            for p, g in enumerate(grams.tolist()):
+                if counts is None or counts.get(g):
+                    places.setdefault(g, []).append((k, p))
         codes = sorted(places)
-        return np.array(codes, np.int64), [sorted(places[c]) for c in codes]
+        return np.array(codes, np.int64), [places[c] for c in codes]
 
 
 def _regions(hits: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
@@ -160,26 +150,11 @@ def blocks_of(benchmark: DataFrame, size: int = BLOCK):
         yield Block(sorted(((r.item_id, r.text) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
-def with_leaks(rows: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW, block_bytes: int = BLOCK, inside: str | None = None) -> DataFrame:
+def with_leaks(rows: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK, inside: str | None = None) -> DataFrame:
     """``rows`` with column ``leaks array<struct<item_id, score, first_word, end_word>>``; text as in :func:`map_text`."""
     out, names = rows, []
     for number, block in enumerate(blocks_of(benchmark, block_bytes)):
-        def count(block=block):
-            def run(texts):
-                seen = np.zeros(len(block.grams_all), np.int64)
-                for t in texts:
-                    seen[np.unique(block.found(block.read(t), block.grams_all)[1])] += 1
-                k = np.flatnonzero(seen)
-                pairs = [{"gram": int(block.grams_all[i]), "n": int(seen[i])} for i in k] + [{"gram": -1, "n": len(texts)}]
-                return [[pairs, *[[]] * (len(texts) - 1)]]
-
-            return run
-
-        text = F.col("row").getField([f.name for f in rows.schema["row"].dataType.fields if f.name.lower() == inside][0]) if inside else F.col("text")
-        counted = map_text(rows.select(text.cast("string").alias("text")), count, "counts array<struct<gram:bigint,n:bigint>>")
-        counted = counted.select(F.explode("counts").alias("c")).groupBy("c.gram").agg(F.sum("c.n").alias("n"))
-        counts = {r.gram: r.n for r in counted.collect()}  # no more rows than the block has n-grams, and the documents
-        codes, places = block.seeds(counts, max(RARE, int(counts.pop(-1, 0) * RARE_SHARE)), window)
+        codes, places = block.seeds()
 
         def find(block=block, codes=codes, places=places):
             def run(texts):
@@ -198,7 +173,7 @@ def with_leaks(rows: DataFrame, benchmark: DataFrame, least: float = LEAST, wind
     return out.withColumn("leaks", F.concat(*names)).drop(*names, "text_again")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW, block_bytes: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word for each row of ``docs(doc_id, text)`` and item of
     ``benchmark(item_id, text)`` that it holds.
 
@@ -208,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wi
     own.  Other columns are not read.  Either table may be empty: the result is empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = with_leaks(rows, benchmark, least, window, block_bytes)
+    found = with_leaks(rows, benchmark, least, block_bytes)
     return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
 
 

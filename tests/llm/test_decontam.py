@@ -102,3 +102,14 @@ def test_every_window_has_a_seed():
     _, places = block.seeds(counts)
     at = sorted(p for ps in places for item, p in ps if item == 0)
     assert at[0] < decontam.WINDOW and at[-1] >= 38 - decontam.WINDOW and max(b - a for a, b in zip(at, at[1:], strict=False)) <= decontam.WINDOW
+
+
+def test_edited_copies_of_an_item_with_many_copies(spark):
+    rng = random.Random(6)
+    item = vocabulary(rng, 38)
+    edited = [[f"other{i}" if i % step == step - 1 else w for i, w in enumerate(item)] for step in (5, 6, 7)]
+    # exact copies with one edited copy of each kind; and a kind that itself has many copies
+    for texts in ([item] * 40 + edited, [item] * 10 + [edited[0]] * 30):
+        docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+        assert sorted(r.doc_id for r in found.collect()) == list(range(len(docs)))
