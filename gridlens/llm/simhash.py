@@ -34,6 +34,10 @@ CAP = 1_000  # fingerprints a bucket
 CROWD = 4_000  # sketches a bucket: two megabytes
 CELLS = 16
 SKETCH = 512
+# the estimate from a sketch has a standard error below 0.021 from 0.7 up; where it is within the margin the sets decide
+MARGIN = 0.115
+FEW, MARGIN_FEW = 64, 0.3  # in sets of few shingles two in one cell count for more
+HELD = 4_000_000  # shingle hashes a bucket: 32 megabytes
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -84,27 +88,21 @@ def _forest(n: int, near, label: np.ndarray | None = None) -> list[tuple[int, in
     return out
 
 
-def _links(rows: DataFrame, near, values: list[str]) -> DataFrame:
-    """(a, b): spanning forests of the links inside each bucket of ``rows(bucket, node, label, *values)``; equal labels are
-    linked already.
-
-    ``near``: from a bucket's value arrays to the function that :func:`_forest` takes.  Buckets are bounded by the callers.
-    """
+def _each_bucket(rows: DataFrame, work, out: list[str]) -> DataFrame:
+    """``work``: from a bucket's columns (name -> array) of ``rows(bucket, node, ...)`` to tuples of longs, columns ``out``.
+    Buckets are bounded by the callers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def links(f: pd.DataFrame) -> pd.DataFrame:
-            bucket, node, label = f["bucket"].to_numpy(), f["node"].to_numpy(), f["label"].to_numpy()
-            cols = [f[v].to_numpy() for v in values]
+        def done(f: pd.DataFrame) -> pd.DataFrame:
+            bucket, cols = f["bucket"].to_numpy(), {c: f[c].to_numpy() for c in f.columns}
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(f)]
-            a, b = [], []
+            found = []
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if high - low > 1:
-                    for x, y in _forest(high - low, near(*[c[low:high] for c in cols]), label[low:high]):
-                        a.append(node[low + x])
-                        b.append(node[low + y])
-            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                    found += work({c: x[low:high] for c, x in cols.items()})
+            return pd.DataFrame(np.array(found, np.int64).reshape(-1, len(out)), columns=out)
 
         for f in frames:
             f = f if held is None else pd.concat([held, f], ignore_index=True)
@@ -113,12 +111,27 @@ def _links(rows: DataFrame, near, values: list[str]) -> DataFrame:
             bucket = f["bucket"].to_numpy()
             last = int(np.argmax(bucket == bucket[-1]))
             if last:
-                yield links(f.iloc[:last])
+                yield done(f.iloc[:last])
             held = f.iloc[last:]
         if held is not None:
-            yield links(held)
+            yield done(held)
+
+    schema = ", ".join(f"{c} long" for c in out)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(run, schema)
+
+
+def _links(rows: DataFrame, near, values: list[str]) -> DataFrame:
+    """(a, b): spanning forests of the links inside each bucket of ``rows(bucket, node, label, *values)``; equal labels are
+    linked already.
+
+    ``near``: from a bucket's value arrays to the function that :func:`_forest` takes.
+    """
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(run, "a long, b long")
+    def work(f):
+        node = f["node"]
+        return [(node[x], node[y]) for x, y in _forest(len(node), near(*[f[v] for v in values]), f["label"])]
+
+    return _each_bucket(rows, work, ["a", "b"])
 
 
 def _sized(keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -228,62 +241,146 @@ def ring(hashes: np.ndarray) -> np.ndarray:
 def _sketches(width: int):
     def start():
         def run(texts):
-            digest, segs, sketch = [], [], []
+            digest, segs, sketch, size = [], [], [], []
             for t in texts:
                 h = np.unique(shingles(t, width))
                 digest.append(xxhash.xxh128_digest(h.tobytes()))
                 # other bits than the cell's number stand in the sketch
                 segs.append(ring(h).view(np.int64).tolist())
+                size.append(len(h))
                 fine = cells(h, SKETCH)
                 short = ((fine >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
                 short[fine == 0] = 0
                 sketch.append(short.tobytes())
-            return [digest, segs, sketch]
+            return [digest, segs, sketch, size]
 
         return run
 
     return start
 
 
-def similar(sketches: np.ndarray, least: float):
-    """``hit(i, rest)``: which rows ``rest`` have an estimated Jaccard similarity of at least ``least`` with row i."""
+def estimate(sketches: np.ndarray):
+    """``of(i, rest)``: (estimated Jaccard similarity of row i with rows ``rest``, its margin)."""
     used = sketches > 0
     n = used.sum(1)
 
-    def hit(i, rest):
+    def of(i, rest):
         both = used[rest] & used[i]
         held = both.sum(1)
         same = ((sketches[rest] == sketches[i]) & both).sum(1)
         chance = (held - same) / 254  # equal short hashes of different shingles
-        return same - chance >= least * (n[rest] + n[i] - held) - 1e-9
+        union = n[rest] + n[i] - held
+        return np.where(union > 0, (same - chance) / np.maximum(union, 1), 1.0), np.where(union < FEW, MARGIN_FEW, MARGIN)
+
+    return of
+
+
+def similar(sketches: np.ndarray, sets: np.ndarray | None, least: float):
+    """``hit(i, rest)``: which rows ``rest`` have a Jaccard similarity of at least ``least`` with row i.
+
+    sets: sorted shingle hashes of each row as bytes; they decide where the estimate does not.  Without them only what the
+    estimate is sure of is a hit."""
+    of = estimate(sketches)
+
+    def hit(i, rest):
+        about, margin = of(i, rest)
+        out = about >= least + margin
+        if sets is not None:
+            open_ = np.flatnonzero(~out & (about >= least - margin))
+            if len(open_):
+                out[open_] = jaccard(sets[i], sets[rest[open_]], least)
+        return out
 
     return hit
 
 
+def jaccard(one: bytes, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether the similarity of the sets is at least ``least``, exactly; sets as in :func:`similar`, none empty."""
+    own, every = np.frombuffer(one, np.uint64), np.frombuffer(b"".join(others), np.uint64)
+    sizes = np.array([len(o) // 8 for o in others])
+    found = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both >= least * (len(own) + sizes - both) - 1e-9
+
+
 def _chain_keys(columns: DataFrame, patterns: list[tuple[int, ...]]) -> DataFrame:
     """(bucket, node): a key for each start on the ring and each pattern of segments that must be equal."""
     chosen = F.array(*[F.array(*map(F.lit, p)) for p in patterns])
     segment = lambda i, s: F.element_at("segs", (i + s) % CELLS + 1)
     key = lambda i, p: F.xxhash64(i, p, F.transform(p, lambda s: segment(i, s)))
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(chosen, lambda p: key(i, p))))
-    return columns.select("node", F.explode(F.array_distinct(keys)).alias("bucket"))
+    return columns.select("node", F.posexplode(keys).alias("at", "bucket")).select("node", "bucket", F.expr(f"cast(at div {len(patterns)} as int)").alias("start"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, hashes): the sorted shingle hashes of the nodes ``wanted(node, doc_id, tie)``."""
+
+    def start():
+        return lambda texts: [[np.unique(shingles(t, width)).tobytes() for t in texts]]
+
+    wanted = wanted.select("node", F.col("doc_id").alias("want_id"), F.col("tie").alias("want_tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("tie") == F.col("want_tie"))).select("node", "text")
+    return map_text(rows, start, "hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _open(told: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(bucket, node, label) of the nodes of ``told(bucket, start, node, label)`` that may be similar to one of another label.
+
+    A pair counts only in the bucket of the first start that it shares."""
+
+    def work(f):
+        label, start = f["label"], int(f["start"][0])
+        segs = np.stack(f["segs"])
+        of = estimate(_stacked(f["sketch"]))
+        names, size = np.unique(label, return_counts=True)
+        marked = np.zeros(len(label), bool)
+        for i in np.flatnonzero(label != names[size.argmax()]).tolist():
+            rest = np.flatnonzero(label != label[i])
+            equal = segs[rest] == segs[i]
+            rest = rest[(equal & np.roll(equal, -1, 1)).argmax(1) == start]
+            about, margin = of(i, rest)
+            rest = rest[about >= least - margin]
+            if len(rest):
+                marked[i] = marked[rest] = True
+        return [(f["bucket"][k], f["node"][k], label[k]) for k in np.flatnonzero(marked)]
+
+    return _each_bucket(told.join(nodes.select("node", "segs", "sketch"), "node"), work, ["bucket", "node", "label"])
+
+
+def _parted(told: DataFrame, cap: int) -> DataFrame:
+    """(bucket, start, node, label) of the buckets in which labels meet."""
+    labels = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return told.join(labels, "bucket").select("bucket", "start", "node", "label")
+
+
+def _within(asked: DataFrame) -> DataFrame:
+    """``asked(bucket, node, label, size, sketch)`` with buckets of more than ``HELD`` shingles in blocks, each two a bucket."""
+    sizes = asked.groupBy("bucket").agg(F.sum("size").alias("all"))
+    rows = asked.join(sizes, "bucket").withColumn("blocks", F.when(F.col("all") <= HELD, 1).otherwise(F.ceil(2 * F.col("all") / HELD)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "node", "label", "sketch")
+
+
+def _stacked(sketch: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), SKETCH)
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, tie (xxhash64 of the text), component (long) and first (boolean) for each distinct doc_id and text.
 
     Classes are connected components of pairs whose sets of word shingles have a Jaccard similarity of at least
-    ``similarity``, estimated from 512 one-shingle samples (exact for equal sets; standard error below 0.02 at 0.8).
-    Pigeonring: two documents that differ in at most 7 of 16 segments share a start whose first two segments are equal
-    (at 0.8 more than 99 % of pairs do).  ``first`` marks the row of least doc_id (nulls last, ties by ``tie``) of each
+    ``similarity``.  512 one-shingle samples decide where their estimate is over five standard errors away from it, the
+    sets themselves elsewhere.  Pairs are looked for where two adjacent segments of 16 are equal: of pairs at 0.8, all but
+    about 2 in 100,000 have such a start (by the binomial).  ``first`` marks the row of least doc_id (nulls last, ties by ``tie``) of each
     class.  Documents without words form one class.  Other columns are not read.  An empty table gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    sketches = scratch.table(map_text(rows, _sketches(width), "digest binary, segs array<long>, sketch binary"), "sketches")
+    sketches = scratch.table(map_text(rows, _sketches(width), "digest binary, segs array<long>, sketch binary, size long"), "sketches")
     # copies first: one node for a set of shingles
     rows = sketches.withColumn("node", F.xxhash64("digest"))
-    nodes = scratch.table(rows.groupBy("node").agg(F.first("segs").alias("segs"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.table(rows.groupBy("node").agg(F.first("segs").alias("segs"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first(F.struct("doc_id", "tie")).alias("from")), "nodes")
     short = [tuple(range(sum(b == 0 for b in budgets(CELLS, 7))))]  # the first two segments
     sized = _sized(_chain_keys(nodes, short), scratch)
     few = sized.where(F.col("n") <= cap).select("bucket", "node")
@@ -298,8 +395,8 @@ def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     dense = dense.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "node")
     work = scratch.table(few.union(dense), "work")
 
-    def near(sketch):
-        return similar(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), SKETCH), similarity)
+    def near(sketch, sets=None):
+        return similar(_stacked(sketch), sets, similarity)
 
     # first an eighth of the buckets; then all, where more than one class meets and only between classes: a large tight
     # group is linked once and not in every bucket that it fills
@@ -309,11 +406,19 @@ def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     told = scratch.table(told, "told")
     open_ = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     late = _links(told.join(open_, "bucket", "left_semi").join(sketch, "node"), near, ["sketch"])
-    classes = connected_components(early.union(late), scratch)
+    sure = scratch.table(early.union(late), "sure")
+    classes = connected_components(sure, scratch)
+    # what the estimate leaves open, in the first buckets again: the sets decide
+    told_all = scratch.table(sized.join(classes, "node", "left").select("bucket", "start", "n", "node", F.coalesce("component", "node").alias("label")), "told")
+    asked = scratch.table(_open(_parted(told_all, cap), nodes, similarity), "asked")
+    known = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "from.doc_id", "from.tie")
+    sets = scratch.table(_sets(docs, known, width), "sets")
+    exact = scratch.table(_links(_within(asked.join(nodes.select("node", "size", "sketch"), "node")).join(sets, "node"), near, ["sketch", "hashes"]), "exact")
+    classes = connected_components(sure.union(exact), scratch)
     seen = rows.groupBy("doc_id", "tie").agg(F.first("node").alias("node"))
     seen = seen.join(classes, "node", "left").select("doc_id", "tie", F.coalesce("component", "node").alias("component"))
     seen = scratch.table(seen, "seen")
-    scratch.drop(sized, more, work, told, early, nodes, sketches)
+    scratch.drop(sized, more, work, told, told_all, asked, sets, early, sure, exact, nodes, sketches)
     # the row to keep by partial aggregation: a class may hold a third of all rows
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tie"))
     least = scratch.table(seen.groupBy("component").agg(F.min(key).alias("keep")), "least")

@@ -99,3 +99,23 @@ def test_patterns_cover_every_viable_chain():
         if all(sum(differ[: i + 1]) <= allowed[i] for i in range(8)):
             equal = {i for i in range(8) if not differ[i]}
             assert any(w <= equal for w in wanted)
+
+
+def edited_pair(rng, shingles, edits):
+    """Two texts whose 5-word shingle sets have a similarity of (shingles - 5 edits) / (shingles + 5 edits)."""
+    base = [f"w{rng.getrandbits(40)}" for _ in range(shingles + 4)]
+    other = list(base)
+    for k in range(edits):
+        other[4 + k * (shingles - 4) // edits] = f"e{rng.getrandbits(40)}"
+    return " ".join(base), " ".join(other)
+
+
+def test_decisions_at_the_limit_are_exact(spark):
+    rng = random.Random(11)
+    texts = [t for k in range(60) for t in edited_pair(rng, 450 if k % 6 else 45, 9 + k % 3 if k % 6 else 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = brute.similar_pairs(list(enumerate(texts)), 5)
+    assert {0.8} < {round(j, 3) for *_, j in pairs}
+    want = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.8])
+    for cap in (simhash.CROWD, 3):
+        assert sorted(r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()) == [i for i in want if want[i] == i]
