@@ -13,8 +13,8 @@ only those get the full check.
 
 How it scales: copies collapse to one fingerprint first, by partial aggregation.  A bucket gives a spanning forest of its
 links, never its pairs.  Buckets above ``CAP`` (``CROWD`` for similarities) go another exact way: for Hamming distances up to 2 through the
-fingerprints one bit away, which two such neighbours share (65 rows a fingerprint, no pairs); for similarities through
-longer chains, then in blocks.  Components come from :func:`common.connected_components`.
+fingerprints one bit away, which two such neighbours share (65 rows a fingerprint, no pairs); for similarities tight
+groups are linked through longer chains, and what then hangs apart is compared in blocks.  Components come from :func:`common.connected_components`.
 """
 
 from __future__ import annotations
@@ -349,9 +349,20 @@ def _open(told: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _parted(told: DataFrame, cap: int) -> DataFrame:
-    """(bucket, start, node, label) of the buckets in which labels meet."""
-    labels = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    return told.join(labels, "bucket").select("bucket", "start", "node", "label")
+    """(bucket, start, node, label) of the buckets in which labels meet; those above ``cap`` in blocks.
+
+    A crowded bucket's largest label has blocks of its own, which need not meet each other: with few others beside a large
+    group the rows grow with its size and not with its square."""
+    labels = told.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
+    labels = labels.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("n_main"), F.count("*").alias("labels")).where("labels > 1")
+    rows = told.join(labels, "bucket")
+    main, n_main, n_rest = F.col("label") == F.col("main"), F.ceil(2 * F.col("n_main") / cap), F.ceil(2 * (F.col("n") - F.col("n_main")) / cap)
+    deal = lambda n: F.pmod(F.xxhash64("node", "bucket"), n)
+    dense = rows.where(F.col("n") > cap).withColumn("block", F.when(main, deal(n_main)).otherwise(n_main + deal(n_rest)))
+    dense = dense.withColumn("other", F.explode(F.sequence(F.when(main, n_main).otherwise(F.lit(0).cast("long")), n_main + n_rest - 1)))
+    dense = dense.withColumn("bucket", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    names = ["bucket", "start", "node", "label"]
+    return rows.where(F.col("n") <= cap).select(names).union(dense.select(names))
 
 
 def _within(asked: DataFrame) -> DataFrame:

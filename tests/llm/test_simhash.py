@@ -119,3 +119,17 @@ def test_decisions_at_the_limit_are_exact(spark):
     want = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.8])
     for cap in (simhash.CROWD, 3):
         assert sorted(r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()) == [i for i in want if want[i] == i]
+
+
+def test_crowded_buckets_find_the_same_pairs(spark):
+    """Pairs with 8 segments or more that differ, which share a start: no chain of a crowded bucket holds them."""
+    rng, texts = random.Random(12), []
+    while len(texts) < 8:
+        a, b = edited_pair(rng, 450, 9)
+        equal = np.equal(*[simhash.ring(np.unique(simhash.shingles(t, 5))) for t in (a, b)])
+        starts = [{i, *((i + s) % 16 for s in t)} for i in range(16) for t in [(0, 1, *x) for x in simhash._triples()]]
+        if (equal & np.roll(equal, -1)).any() and not any(equal[list(s)].all() for s in starts):
+            texts += [a, b]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cap in (simhash.CROWD, 1):
+        assert sorted(r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()) == [0, 2, 4, 6]
