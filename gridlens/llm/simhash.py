@@ -1,15 +1,15 @@
-"""SimHash near-duplicates with pigeonring filtering.
+"""Near-duplicates with pigeonring filtering: SimHash for Hamming distances, MinHash for similarities.
 
-Two relations, one search.  ``hamming``: 64-bit SimHash fingerprints of word shingles that differ in at most ``bits``
-bits.  ``similarity``: documents whose shingle sets have a Jaccard similarity of at least ``similarity``.  A 64-bit
-SimHash at 0.8 differs in about 10 of 64 bits, which no index can search; there a fingerprint has ``CELLS`` segments,
-each the SimHash of a one-shingle sample of the document (the least hash of its cell), and the difference of two
-segments is 0 or 1.
+Two relations.  ``hamming``: 64-bit SimHash fingerprints of word shingles that differ in at most ``bits`` bits.
+``similarity``: documents whose shingle sets have a Jaccard similarity of at least ``similarity``.  A 64-bit SimHash at 0.8
+differs in about 10 of 64 bits, which no index can search; so no SimHash and no Hamming distance takes part there, but
+``CELLS`` MinHash segments (the least hash of each cell of the shingles), equal or not.
 
 Pigeonring: lay the m segments on a ring.  If two fingerprints differ by at most t in all, some segment begins a chain in
 which the first l segments differ by at most l * t / m, for every l.  The opening run where that budget is 0 must be
-equal, so it is the join key (one for each of the m starts); pairs in a bucket then have to pass the whole chain, and
-only those get the full check.
+equal, so it is the join key (one for each of the m starts).  ``hamming``: pairs in a bucket then have to pass the whole
+chain, and only those get the full check.  ``similarity``: the key is two adjacent equal segments; no further chain is asked
+for, which would lose pairs, and all pairs in a bucket whose groups are not linked yet go to the similarity itself.
 
 How it scales: copies collapse to one fingerprint first, by partial aggregation.  A bucket gives a spanning forest of its
 links, never its pairs.  Buckets above ``CAP`` (``CROWD`` for similarities) go another exact way: for Hamming distances up to 2 through the
