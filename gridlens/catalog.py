@@ -18,6 +18,7 @@ from .functions import address, coerce, formats, markdown
 from .functions.library import register_sql
 from .operators import grid, layout, lookups, shapes
 from .operators.sheet import Options, sheet_markdown
+from .plans import evaluate
 from .plans.compile import aggregate, column, project, where
 from .sources.workbook import from_files
 
@@ -413,10 +414,18 @@ def grid_merge_tokens(spark, sf_dir):
 @query("""with b as (select l_orderkey, l_linenumber, l_linenumber between 2 and 5 as a, l_linenumber between 4 and 9 as z, l_quantity from lineitem)
     select l_orderkey, round(sum(case when a and z then l_quantity else 0 end), 2) as both from b group by l_orderkey""")
 def op_intersection(spark, sf_dir):
-    """The space operator: two column ranges of a sheet meet in a rectangle, whose cells are summed."""
-    low, high = max(2, 4), min(5, 9)
-    t = table(spark, sf_dir, "lineitem")
-    return rounded(t.groupBy("l_orderkey").agg(F.coalesce(F.sum(F.when(F.col("l_linenumber").between(low, high), F.col("l_quantity"))), F.lit(0.0)).alias("both")), "both")
+    """The space operator: two column ranges of a sheet meet in a rectangle, whose cells are summed.
+
+    An order is a row of a sheet, its lines are the columns; 1000 rows are a workbook."""
+    t = table(spark, sf_dir, "lineitem").withColumns({"workbook": F.expr("cast(l_orderkey div 1000 as string)"), "row": (F.col("l_orderkey") % 1000 + 1).cast("int")})
+    at, nothing = ["workbook", "row"], F.lit(None).cast("string")
+    lines = t.groupBy(*at, F.col("l_linenumber").cast("int").alias("col")).agg(F.sum("l_quantity").cast("string").alias("value")).withColumn("formula", nothing)
+    sums = t.select(*at).distinct().select(*at, F.lit(10).alias("col"), nothing.alias("value"), F.expr("concat('SUM(B', row, ':E', row, ' D', row, ':I', row, ')')").alias("formula"))
+    cells = lines.unionByName(sums).select("workbook", F.lit(0).alias("sheet_index"), F.lit("Orders").alias("sheet_name"), "row", "col", "formula", F.col("formula").isNotNull().alias("pending"), "value")
+    names = spark.createDataFrame([], "workbook string, sheet string, name string, formula string")
+    tables = spark.createDataFrame([], "workbook string, sheet string, name string, start string, end string, columns array<string>, header_rows int, totals_rows int")
+    order = (F.col("workbook").cast("long") * 1000 + F.col("row") - 1).cast(t.schema["l_orderkey"].dataType)
+    return rounded(evaluate.resolve(cells, names, tables).select(order.alias("l_orderkey"), F.col("resolved").cast("double").alias("both")), "both")
 
 
 @query("""select n_nationkey::int + 1 as row, 1 as col, n_nationkey::varchar as value from nation union all select n_nationkey::int + 1, 2, n_name from nation union all select n_nationkey::int + 1, 3, n_regionkey::varchar from nation""")

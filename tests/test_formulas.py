@@ -93,3 +93,17 @@ def test_moved_formulas():
     assert moved("=A1+$B$2*C$3", 2, 1) == "=B3+$B$2*D$3"
     assert moved("='My Sheet'!A1+Sheet2!$A1", 1, 1) == "='My Sheet'!B2+Sheet2!$A2"
     assert moved("=B2", -5, -5) == "=A1"
+
+
+def test_intersection_query_evaluates_a_formula(spark, sf_dir, monkeypatch):
+    from gridlens import catalog
+    from gridlens.plans import evaluate
+
+    seen, resolve = [], evaluate.resolve
+    monkeypatch.setattr(evaluate, "resolve", lambda cells, *rest: seen.append(cells) or resolve(cells, *rest))
+    got = {r.l_orderkey: r.both for r in catalog.op_intersection(spark, sf_dir).collect()}
+    assert seen and all(" " in r.formula for r in seen[0].where("pending").collect())
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").collect():
+        want[r.l_orderkey] = want.get(r.l_orderkey, 0) + (float(r.l_quantity) if r.l_linenumber in (4, 5) else 0)
+    assert got == {k: round(v, 2) for k, v in want.items()}
