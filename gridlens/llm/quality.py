@@ -6,7 +6,7 @@ dictionaries hide), go into a logistic curve fitted on labelled rows that the di
 share of good rows among all labelled ones: the score.
 
 How it scales: fitting takes at most ``PER_CLASS`` labelled rows of each class and ``ROW_CHARS`` characters of a row (by
-hash of doc_id, so a bigger corpus gives as many); scoring is a map.
+hash of doc_id, so a bigger corpus gives as many), in blocks from all over its text; scoring is a map.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +33,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, chars: int = ROW_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class rows a class that are not held out, in order of a hash of doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, chars: int = ROW_CHARS, spread: bool = False) -> list[tuple[str, int]]:
+    """(text, label) of at most per_class rows a class that are not held out, in order of a hash of doc_id.
+
+    Of a text of more than ``chars`` characters the first ones, or if ``spread`` blocks from all over it by hash, in order."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     few = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     few = F.broadcast(few[0].union(few[1]))  # at most 2 * per_class rows
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).where("text is not null and doc_id is not null")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (spread_blocks(chars) if spread else F.substring("text", 1, chars)).alias("text")).where("text is not null and doc_id is not null")
     # rows of one doc_id count once, so repeated rows cannot break the bound
     rows = text.join(few, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return [(r.text, r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").collect()]
 
 
+def spread_blocks(chars: int) -> Column:
+    """``text``, or of a longer one about ``chars`` characters in whole blocks that a hash of doc_id and block chooses."""
+    n = F.ceil(F.length("text") / BLOCK).cast("int")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k"))))
+    chosen = F.array_sort(F.transform(F.slice(order, 1, chars // BLOCK), lambda x: x["k"]))
+    parts = F.transform(chosen, lambda k: F.col("text").substr(k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.length("text") <= chars, F.col("text").cast("string")).otherwise(F.array_join(parts, ""))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights (intercept first) of a logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -81,17 +93,19 @@ class QualityModel:
 
     @staticmethod
     def _dictionary(texts: list[str]) -> bytes:
-        """Plain content: the texts' first blocks, then their second ones, and so on until it is full.  (The library's own
-        trainer gives dictionaries of a few hundred bytes to all that it may, by chance of the sample.)"""
+        """Plain content: a block of each text, then a second one of each, and so on until it is full; a hash of text and
+        block chooses them from all over the text.  (The library's own trainer gives dictionaries of a few hundred bytes to
+        all that it may, by chance of the sample.)"""
+        places = []
+        for i, t in enumerate(texts):
+            order = sorted(range(-(-len(t) // BLOCK)), key=lambda k: xxhash.xxh64_intdigest(f"{i} {k}"))  # noqa: B023
+            places += [(turn, i, k) for turn, k in enumerate(order)]
         parts, size = [], 0
-        for k in range(-(-ROW_CHARS * 4 // BLOCK)):
-            for t in texts:
-                piece = t[k * BLOCK : (k + 1) * BLOCK].encode("utf-8", "surrogatepass")
-                if piece and size < DICTIONARY:
-                    parts.append(piece)
-                    size += len(piece)
+        for _, i, k in sorted(places):
             if size >= DICTIONARY:
                 break
+            parts.append(texts[i][k * BLOCK : (k + 1) * BLOCK].encode("utf-8", "surrogatepass"))
+            size += len(parts[-1])
         return b"".join(reversed(parts))[-DICTIONARY:]
 
     def _open(self) -> None:
@@ -139,7 +153,7 @@ def blocks(text: str | None, size: int) -> list[bytes]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    return QualityModel(labelled(docs, labels, "quality", per_class), share_of(labels, "quality"))
+    return QualityModel(labelled(docs, labels, "quality", per_class, spread=True), share_of(labels, "quality"))
 
 
 def share_of(labels: DataFrame, label: str) -> float:

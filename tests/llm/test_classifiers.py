@@ -112,3 +112,16 @@ def test_table_is_the_kernel_machine():
     (ca, wa), (cb, wb) = toxicity.ToxicityModel._features([a, b])
     got = sum(x * y for c, x in zip(ca, wa, strict=True) for d, y in zip(cb, wb, strict=True) if c == d)
     assert abs(got - want) < 1e-9
+
+
+def test_dictionaries_hold_more_than_openings(spark):
+    rng = random.Random(8)
+    opening = "all rights reserved " * 52  # a block that all texts share
+    texts = [opening[: quality.BLOCK] + "".join(rng.choices("abcdefgh ", k=2 * quality.BLOCK)) for _ in range(1100)]
+    assert quality.QualityModel._dictionary(texts).count(opening[: quality.BLOCK].encode()) < 500
+    # of a longer text blocks from all over it
+    whole = "".join(f"{k:05d}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, whole)], "doc_id long, text string")
+    ((text, _),) = quality.labelled(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), "quality", spread=True)
+    assert len(text) <= quality.ROW_CHARS
+    assert any(whole.find(text[k : k + quality.BLOCK]) >= quality.ROW_CHARS for k in range(0, len(text), quality.BLOCK))
