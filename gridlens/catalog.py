@@ -320,7 +320,7 @@ def fn_sql_functions(spark, sf_dir):
     year(date '1899-12-30' + (p_size::int + 40000)) || '/' || month(date '1899-12-30' + (p_size::int + 40000)) || '/' || day(date '1899-12-30' + (p_size::int + 40000)) as slashes from part""")
 def fmt_number(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("price", coerce.num_to_text(F.col("p_retailprice"))).withColumn("size", F.col("p_size").cast("string"))
-    show = lambda raw, code: formats.display(raw, F.lit(code), F.lit(0))
+    show = formats.display
     share = coerce.num_to_text(F.col("p_retailprice") / 1000)
     later = (F.col("p_size") + 40000).cast("string")
     return p.select("p_partkey", show(F.col("price"), "#,##0.00").alias("grouped"), show(share, "0.00%").alias("percent"), show(F.col("size"), "yyyy-mm-dd").alias("iso"), show(later, "yyyy/m/d").alias("slashes"))
@@ -331,7 +331,7 @@ def fmt_number(spark, sf_dir):
 def fmt_scientific(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     text = lambda c: coerce.num_to_text(F.col(c))
-    return t.select("l_orderkey", "l_linenumber", formats.display(text("l_extendedprice"), F.lit("0.0000000E+00"), F.lit(0)).alias("science"), formats.display(text("l_quantity"), F.lit("# ?/?"), F.lit(12)).alias("whole"), formats.display(text("l_tax"), F.lit('#,##0.00;-#,##0.00;"-"'), F.lit(0)).alias("zero"))
+    return t.select("l_orderkey", "l_linenumber", formats.display(text("l_extendedprice"), "0.0000000E+00").alias("science"), formats.display(text("l_quantity"), "# ?/?", 12).alias("whole"), formats.display(text("l_tax"), '#,##0.00;-#,##0.00;"-"').alias("zero"))
 
 
 @query("""with n as (select p_partkey, p_partkey % 18278 + 1 as c from part), l as (select p_partkey, c,

@@ -1,7 +1,16 @@
-"""Number formats: what a cell shows for its raw value, as Spark columns."""
+"""Number formats: what a cell shows for its raw value.
+
+A format code is read once, in plain Python, into a :class:`Shown`: which of a dozen ways of showing a number it asks for,
+and with how many digits.  For a literal code only that way becomes an expression; a column of codes is read by distinct
+value (:func:`shown_of`), so a row costs a comparison of the way's name.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,22 +24,140 @@ BUILTIN = {
 }
 #: First year of an era and its name, newest first.  Fixed values.
 ERAS = ((2019, "令和"), (1989, "平成"))
+#: Date codes with a way of their own; other date codes show date, time or both.  Fixed values.
+DATES = {"yyyy/m/d": "slashes", "yyyy/mm/dd": "slashes", "m月d日": "month_day", "yyyy-mm-dd": "date", "hh:mm:ss": "time"}
+ERA_CODE = "ggge年m月d日"
+#: Format ids with a way of their own: digits apart, and yen without a sign.  Fixed values.
+DIGITS_APART, PLAIN_YEN = 186, 42
+#: Currency signs in a zero section and what zero shows with them.  Fixed values.
+ZERO_SIGNS = {"¥": "¥ -", "$": "$ -"}
 DAY_MS = 86_400_000
 
 
-def plain_code(code: Column) -> Column:
-    """A format code without brackets, quotes, escapes, padding and fill."""
-    c = F.trim(F.coalesce(code, F.lit("")))
-    for pattern, new in ((r"\[[^\]]*\]", ""), (r'"([^"]*)"', "$1"), (r"\\(.)", "$1"), (r"_.?", ""), (r"\*", "")):
-        c = F.regexp_replace(c, pattern, new)
-    return c
-
-
-def is_date_code(code: Column) -> Column:
-    c = F.lower(F.coalesce(code, F.lit("")))
-    for pattern in (r"\[[^\]]*\]", r'"[^"]*"', r"\\."):
-        c = F.regexp_replace(c, pattern, "")
-    return (c != "") & ~c.contains("general") & c.rlike("[ymdhs]")
+# ---------------------------------------------------------------- reading a code
+
+
+@dataclass(frozen=True)
+class Shown:
+    """How a format shows numbers.  way: its name (None: as they are); digits after the point; power: digits of an
+    exponent; commas between thousands; yen: a sign in front; zero: what 0 shows instead."""
+
+    way: str | None = None
+    digits: int = 0
+    power: int = 0
+    commas: bool = False
+    yen: bool = False
+    zero: str | None = None
+
+
+SHOWN = "struct<way:string,digits:int,power:int,commas:boolean,yen:boolean,zero:string>"
+
+
+def letters_of_code(code: str) -> Iterator[str]:
+    """The characters of a code that stand for themselves or for digits: those of quotes and escapes too, but not tags in
+    brackets, the padding ``_x`` and the fill mark ``*``."""
+    code, at = code.strip(), 0
+    while at < len(code):
+        c, at = code[at], at + 1
+        close = code.find({"[": "]", '"': '"'}.get(c, "\0"), at)
+        if c == "[" and close >= 0:
+            at = close + 1
+        elif c == '"' and close >= 0:
+            yield from code[at:close]
+            at = close + 1
+        elif c == "\\" and at < len(code):
+            yield code[at]
+            at += 1
+        elif c == "_":
+            at += 1
+        elif c != "*":
+            yield c
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters a to z, and each other character."""
+    out: list[str] = []
+    for c in text:
+        if "a" <= c <= "z" and out and "a" <= out[-1][0] <= "z":
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+def _date(low: str) -> str:
+    if low in DATES:
+        return DATES[low]
+    if ERA_CODE in low:
+        return "era"
+    words = ["", *_words(low), ""]
+    month = any(w == "m" and ({words[i - 1], words[i + 1]} & {"/", "-"}) for i, w in enumerate(words) if w)
+    day = "y" in low or "d" in low or month
+    clock = any(c in low for c in "hs:") or "am/pm" in low
+    return "date_time" if day and clock else "time" if clock else "date"
+
+
+def _places(section: str) -> int:
+    """Digits between a section's first point and its second."""
+    points = section.split(".")
+    return sum(c in "0#" for c in points[1]) if len(points) > 1 else 0
+
+
+def _exponent(section: str) -> tuple[int, int] | None:
+    """(digits after the point, digits of the exponent) of a section with an exponent behind a digit."""
+    head, mark, tail = section.partition("e+")
+    if not mark or not tail.startswith("0") or not set(head) & set("0#"):
+        return None
+    fraction = head.rpartition(".")
+    digits = len(fraction[2]) if fraction[1] and fraction[2] and set(fraction[2]) <= set("0#") else 0
+    return digits, len(tail) - len(tail.lstrip("0#"))
+
+
+def _zero(section: str) -> str | None:
+    """What a section shows for 0 if it is a dash, alone or with a currency sign."""
+    around = f" {section.replace('?', '')} "
+    plain = lambda c: c.isascii() and c.isalnum()
+    if not any(c == "-" and not plain(around[i - 1]) and not plain(around[i + 1]) for i, c in enumerate(around)):
+        return None
+    return next((out for sign, out in ZERO_SIGNS.items() if sign in section), "-")
+
+
+def shown(code: str | None, format_id: int | None = 0) -> Shown:
+    """What a format code and its id ask for."""
+    low = "".join(letters_of_code(code or "")).lower()
+    if set(low) & set("ymdhs") and "general" not in low:
+        return Shown(_date(low))
+    sections = low.split(";")
+    first, zero = sections[0].strip(), _zero(sections[2]) if len(sections) > 2 else None
+    if "%" in low:
+        return Shown("percent", _places(sections[0]), zero=zero)
+    if format_id == DIGITS_APART or "dbnum3" in low:
+        return Shown("apart", zero=zero)
+    if format_id == PLAIN_YEN:
+        return Shown("plain_yen", commas=True, zero=zero)
+    if any(_exponent(s) for s in sections):
+        digits, power = _exponent(sections[0]) or (0, 0)
+        return Shown("scientific", digits, power, zero=zero)
+    if "?/?" in low:
+        return Shown("fraction", zero=zero)
+    if set(first) & set("#0,"):
+        return Shown("number", _places(first), commas="," in first, yen="¥" in first, zero=zero)
+    return Shown(zero=zero)
+
+
+def shown_of(code: Column, format_id: Column) -> Column:
+    """:func:`shown` of columns, as a struct; each distinct pair of a batch is read once."""
+
+    @F.pandas_udf(SHOWN)
+    def read(c: pd.Series, i: pd.Series) -> pd.DataFrame:
+        known: dict[tuple, dict] = {}
+        pairs = list(zip(c.fillna(""), i.fillna(0).astype(int), strict=True))
+        return pd.DataFrame([known.get(p) or known.setdefault(p, asdict(shown(*p))) for p in pairs], columns=list(Shown.__dataclass_fields__))
+
+    return read(code, format_id)
+
+
+# ---------------------------------------------------------------- dates
 
 
 def date_parts(serial: Column) -> tuple[Column, Column]:
@@ -45,56 +172,59 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds / 60).cast("int") % 60, seconds % 60)
 
 
-def date_text(serial: Column, code: Column) -> Column:
-    """A serial by a date format code: the known patterns, else ISO date, time or both."""
+def date_text(serial: Column, way: str) -> Column:
+    """A serial in one of the ways of date codes."""
     day, seconds = date_parts(serial)
-    c = F.lower(plain_code(code))
     y, m, d = F.year(day), F.month(day), F.day(day)
-    slashes = F.concat_ws("/", y, m, d)
-    japanese = F.concat(m.cast("string"), F.lit("月"), d.cast("string"), F.lit("日"))
-    era = F.concat(y.cast("string"), F.lit("年"), japanese)
-    for first, name in reversed(ERAS):
-        era = F.when(y >= first, F.concat(F.lit(name), (y - first + 1).cast("string"), F.lit("年"), japanese)).otherwise(era)
-    iso, time = F.date_format(day, "yyyy-MM-dd"), clock(seconds)
-    has_date = c.rlike(r"y|d|(?:^|[^a-z])m[/-]|[/-]m(?:[^a-z]|$)")
-    has_time = c.rlike(r"h|s|:|am/pm")
-    return (
-        F.when(c.isin("yyyy/m/d", "yyyy/mm/dd"), slashes).when(c == "m月d日", japanese).when(c == "yyyy-mm-dd", iso)
-        .when(c == "hh:mm:ss", time).when(c.contains("ggge年m月d日"), era)
-        .when(has_date & has_time, F.concat(iso, F.lit(" "), time)).when(has_time, time).otherwise(iso)
-    )
-
-
-def decimals(pattern: Column) -> Column:
-    """Digits after the point of a number pattern."""
-    after = F.coalesce(F.try_element_at(F.split(pattern, r"\."), F.lit(2)), F.lit(""))
-    return F.length(F.regexp_replace(after, "[^0#]", ""))
-
-
-def half_away(x: Column, digits: Column) -> Column:
+    if way == "slashes":
+        return F.concat_ws("/", y, m, d)
+    if way in ("month_day", "era"):
+        short = F.concat(m.cast("string"), F.lit("月"), d.cast("string"), F.lit("日"))
+        if way == "month_day":
+            return short
+        out = F.concat(y.cast("string"), F.lit("年"), short)
+        for first, name in reversed(ERAS):
+            out = F.when(y >= first, F.concat(F.lit(name), (y - first + 1).cast("string"), F.lit("年"), short)).otherwise(out)
+        return out
+    iso = F.date_format(day, "yyyy-MM-dd")
+    return {"date": iso, "time": clock(seconds)}[way] if way != "date_time" else F.concat(iso, F.lit(" "), clock(seconds))
+
+
+# ---------------------------------------------------------------- numbers
+
+
+def half_away(x: Column, digits: int | Column) -> Column:
+    """The shortest decimal rounded, halves away from zero; digits from a column beyond 6 round the double itself."""
+    if isinstance(digits, int):
+        return F.round(x, digits)
     f = F.pow(F.lit(10.0), digits)
-    return F.signum(x) * F.floor(F.abs(x) * f + 0.5) / f
+    out = F.signum(x) * F.floor(F.abs(x) * f + 0.5) / f
+    for n in range(6, -1, -1):
+        out = F.when(digits == n, F.round(x, n)).otherwise(out)
+    return out
 
 
-def by_pattern(x: Column, pattern: Column) -> Column:
-    """Fixed decimals, thousands separated where the pattern has a comma."""
-    n = decimals(pattern)
-    out = F.call_function("format_number", half_away(x, n), n)
-    return F.when(pattern.contains(","), out).otherwise(F.regexp_replace(out, ",", ""))
+def fixed(x: Column, digits: int | Column, commas: bool | Column) -> Column:
+    """Fixed decimals, with or without commas between thousands."""
+    out = F.call_function("format_number", half_away(x, digits), F.lit(digits) if isinstance(digits, int) else digits)
+    bare = F.replace(out, F.lit(","), F.lit(""))
+    if isinstance(commas, bool):
+        return out if commas else bare
+    return F.when(commas, out).otherwise(bare)
 
 
-def percent(x: Column, pattern: Column) -> Column:
-    n = decimals(F.split(pattern, ";")[0])
-    return F.concat(F.call_function("format_string", F.concat(F.lit("%."), n.cast("string"), F.lit("f")), x * 100), F.lit("%"))
+def _printed(x: Column, digits: int | Column, letter: str) -> Column:
+    if isinstance(digits, int):
+        return F.format_string(f"%.{digits}{letter}", x)
+    return F.call_function("format_string", F.concat(F.lit("%."), digits.cast("string"), F.lit(letter)), x)
 
 
-def scientific(x: Column, pattern: Column) -> Column:
-    first = F.lower(F.split(pattern, ";")[0])
-    digits, power = F.length(F.regexp_extract(first, r"\.([0#]+)e\+", 1)), F.length(F.regexp_extract(first, r"e\+([0#]+)", 1))
-    out = F.split(F.call_function("format_string", F.concat(F.lit("%."), digits.cast("string"), F.lit("E")), x), "E")
+def scientific(x: Column, digits: int | Column, power: int | Column) -> Column:
+    out = F.split(_printed(x, digits, "E"), "E")
     e = out[1].try_cast("int")
-    shown = F.abs(e).cast("string")
-    return F.concat(out[0], F.when(e >= 0, "E+").otherwise("E-"), F.lpad(shown, F.greatest(power, F.length(shown)), "0"))
+    size = F.abs(e).cast("string")
+    wide = F.greatest(F.lit(power) if isinstance(power, int) else power, F.length(size))
+    return F.concat(out[0], F.when(e >= 0, "E+").otherwise("E-"), F.lpad(size, wide, "0"))
 
 
 def fraction(x: Column) -> Column:
@@ -105,39 +235,69 @@ def fraction(x: Column) -> Column:
     return F.concat(top(d).cast("string"), F.lit("/"), d.cast("string"))
 
 
-def zero_text(code: Column) -> Column:
-    """What the third section shows for zero: a dash, with its currency; null for other sections."""
-    third = F.try_element_at(F.split(code, r';(?=(?:[^"]*"[^"]*")*[^"]*$)'), F.lit(3))
-    c = F.trim(F.regexp_replace(third, r"_.|\\.|[*?]", ""))
-    dash = c.rlike(r'"-"|(?:^|[^A-Za-z0-9])-(?:$|[^A-Za-z0-9])')
-    return F.when(dash & c.contains("¥"), F.lit("¥ -")).when(dash & c.contains("$"), F.lit("$ -")).when(dash, F.lit("-"))
+def _number(x: Column, digits, commas, yen) -> Column:
+    text = fixed(x, digits, commas)
+    signed = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("¥"), F.regexp_replace(text, "^-", ""))
+    if isinstance(yen, bool):
+        return signed if yen else text
+    return F.when(yen, signed).otherwise(text)
+
+
+def _in_way(way: str, raw: Column, x: Column, p) -> Column:
+    """The text of number x in a way; p: a :class:`Shown`, or its fields as columns."""
+    match way:
+        case "percent":
+            return F.concat(_printed(x * 100, p.digits, "f"), F.lit("%"))
+        case "apart":
+            return F.array_join(F.filter(F.split(raw, ""), lambda c: c != ""), " ")
+        case "plain_yen":
+            return F.concat(F.lit("¥ "), F.regexp_replace(fixed(x, 0, True), "^-", ""))
+        case "scientific":
+            return scientific(x, p.digits, p.power)
+        case "fraction":
+            return fraction(x)
+        case "number":
+            return _number(x, p.digits, p.commas, p.yen)
+    return date_text(x, way)
+
+
+DATE_WAYS = ("slashes", "month_day", "date", "time", "era", "date_time")
+WAYS = (*DATE_WAYS, "percent", "apart", "plain_yen", "scientific", "fraction", "number")
 
 
-def display(raw: Column, code: Column, format_id: Column) -> Column:
-    """The shown text of a raw value under a format, null where the raw value is shown as it is."""
-    p = plain_code(code)
-    low = F.lower(p)
+def display(raw: Column, code: str | Column, format_id: int | Column = 0) -> Column:
+    """The shown text of a raw value, null where it is shown as it is.  Code and id are literals or columns."""
+    if isinstance(code, str):
+        return of(raw, _double(raw), shown(code, format_id))
+    return display_struct(raw, shown_of(code, format_id if isinstance(format_id, Column) else F.lit(format_id)))
+
+
+def _double(raw: Column) -> Column:
+    """The number of a raw text; other texts, which are shown as they are, give null."""
     s = strip(raw)
-    is_number = F.coalesce(s.rlike(rf"^{DECIMAL}$"), F.lit(False))
-    x = F.when(is_number, s.try_cast("double"))
-    zero = zero_text(p)
-    first = F.trim(F.split(p, ";")[0])
-    digits = F.regexp_replace(first, r"[^#0,.\-]", "")
-    number = by_pattern(x, digits)
-    unsigned = F.regexp_replace(number, "^-", "")
-    yen = F.concat(F.when(x < 0, "-").otherwise(""), F.when(first.contains("*"), "¥ ").otherwise("¥"), unsigned)
-    return (
-        F.when(F.coalesce(raw, F.lit("")) == "", F.lit(None))
-        .when(is_number & is_date_code(p), date_text(x, p))
-        .when(~is_number, F.lit(None))
-        .when((x == 0) & zero.isNotNull(), zero)
-        .when(low.contains("%"), percent(x, low))
-        .when((format_id == 186) | low.contains("dbnum3"), F.array_join(F.filter(F.split(raw, ""), lambda c: c != ""), " "))
-        .when(format_id == 42, F.concat(F.lit("¥ "), F.regexp_replace(by_pattern(x, F.lit("#,##0")), "^-", "")))
-        .when(low.rlike(r"[#0][^;]*e\+0+"), scientific(x, p))
-        .when(low.contains("?/?"), fraction(x))
-        .when(p.rlike(r"^[^;]*[#0,]+"), F.when(first.contains("¥"), yen).otherwise(number))
-    )
+    return F.when(s.rlike(rf"^{DECIMAL}$"), s.try_cast("double"))
+
+
+def of(raw: Column, x: Column, p: Shown) -> Column:
+    """A number x with its raw text, by a format known here: only its own way is in the expression."""
+    out = F.lit(None).cast("string") if p.way is None else _in_way(p.way, raw, x, p)
+    if p.zero is not None:
+        out = F.when(x == 0, F.lit(p.zero)).otherwise(out)
+    return F.when(x.isNotNull(), out)
+
+
+def of_struct(raw: Column, x: Column, p: Column) -> Column:
+    """The same by a column of structs."""
+    f = Shown(*[p[n] for n in Shown.__dataclass_fields__])
+    out = F.when(x.isNull(), F.lit(None).cast("string")).when((x == 0) & f.zero.isNotNull(), f.zero)
+    for way in WAYS:
+        out = out.when(f.way == way, _in_way(way, raw, x, f))
+    return out
+
+
+def display_struct(raw: Column, p: Column) -> Column:
+    """:func:`display` by a struct from :func:`shown_of`."""
+    return of_struct(raw, _double(raw), p)
 
 
 def builtin_code(format_id: Column) -> Column:

@@ -87,13 +87,15 @@ FORMATS = [
     ("45368", "yyyy/m/d", "2024/3/17"), ("45368", "m月d日", "3月17日"), ("45368", "yyyy/mm/dd", "2024/3/17"), ("45368", "yyyy-mm-dd", "2024-03-17"), ("0.5", "hh:mm:ss", "12:00:00"), ("45368.25", "m/d/yy h:mm", "2024-03-17 06:00:00"),
     ("45368", "[$-411]ggge年m月d日", "令和6年3月17日"), ("40000", "ggge年m月d日", "平成21年7月6日"), ("13", "yyyy/m/d", "1900/1/12"), ("0.256", "0.0%", "25.6%"), ("1234.5", "#,##0.00", "1,234.50"), ("1234.5", "0", "1235"), ("-1234", "#,##0", "-1,234"),
     ("0", '#,##0;-#,##0;"-"', "-"), ("0", '_ ¥* #,##0_ ;_ ¥* -#,##0_ ;_ ¥* "-"_ ;_ @_ ', "¥ -"), ("1234", "0.00E+00", "1.23E+03"), ("0.5", "# ?/?", "1/2"), ("0.3333333333", "# ?/?", "1/3"), ("abc", "0.00", None), ("5", "General", None), ("", "0", None), ("1200", '"¥"#,##0', "¥1,200"), ("-5", '"¥"#,##0', "-¥5"),
-    ("3", '#,##0"days"', "1900-01-02 00:00:00"),
+    ("3", '#,##0"days"', "1900-01-02 00:00:00"), ("45368.5", "m-", "2024-03-17"), ("45368", "x m/", "2024-03-17"), ("0.75", "mm:ss", "18:00:00"), ("0", '0;0;"a-b"', "0"), ("0", "0;0;$?-", "$ -"), ("1.005", "0.00", "1.01"),
+    ("2.5", "0\\.0", "2.5"), ("12", "\\;0", None), ("1234567", "[Red]#,##0_);[Blue]0", "1,234,567"), ("0.00012345", "0.0E+000", "1.2E-004"), ("7", "[0", "7"), ("7", '"0', "7"),
 ]
 
 
 @pytest.mark.parametrize(("raw", "code", "want"), FORMATS)
 def test_number_formats(one, raw, code, want):
-    assert one.select(formats.display(F.lit(raw), F.lit(code), F.lit(0)).alias("x")).first().x == want
+    literal, column = formats.display(F.lit(raw), code), formats.display(F.lit(raw), F.lit(code), F.lit(0))
+    assert tuple(one.select(literal.alias("x"), column.alias("y")).first()) == (want, want)
 
 
 def test_formats_by_id(one):
