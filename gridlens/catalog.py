@@ -421,7 +421,7 @@ def op_intersection(spark, sf_dir):
     at, nothing = ["workbook", "row"], F.lit(None).cast("string")
     lines = t.groupBy(*at, F.col("l_linenumber").cast("int").alias("col")).agg(F.sum("l_quantity").cast("string").alias("value")).withColumn("formula", nothing)
     sums = t.select(*at).distinct().select(*at, F.lit(10).alias("col"), nothing.alias("value"), F.expr("concat('SUM(B', row, ':E', row, ' D', row, ':I', row, ')')").alias("formula"))
-    cells = lines.unionByName(sums).select("workbook", F.lit(0).alias("sheet_index"), F.lit("Orders").alias("sheet_name"), "row", "col", "formula", F.col("formula").isNotNull().alias("pending"), "value")
+    cells = lines.unionByName(sums).select("workbook", F.lit(0).alias("sheet_index"), F.lit("Orders").alias("sheet_name"), F.lit(0).alias("ord"), "row", "col", "formula", F.col("formula").isNotNull().alias("pending"), F.lit(False).alias("empty"), "value")
     names = spark.createDataFrame([], "workbook string, sheet string, name string, formula string")
     tables = spark.createDataFrame([], "workbook string, sheet string, name string, start string, end string, columns array<string>, header_rows int, totals_rows int")
     order = (F.col("workbook").cast("long") * 1000 + F.col("row") - 1).cast(t.schema["l_orderkey"].dataType)

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from . import export
 from .operators.sheet import Options, sheet_markdown
+from .scratch import clear
 from .sources.workbook import read
 
 
@@ -47,6 +48,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except SystemExit as e:
         return 1 if e.code else 0
     name = Path(a.input).name
+    given = spark
     try:
         if a.encoding == "shift_jis" and a.bom == "on":
             raise ValueError("BOM cannot be enabled for shift_jis.")
@@ -71,6 +73,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Exception as e:  # noqa: BLE001  one line for the user, whatever went wrong
         print(f"[{name}] failed: {e}", file=sys.stderr)
         return 1
+    finally:
+        if given is None and spark is not None:
+            clear(spark)
 
 
 def _write(path: Path, data: bytes) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.coerce import BLANKS
 from .operators.grid import SHEET
+from .sources.workbook import book_title
 
 #: Byte order marks by encoding; Shift_JIS has none.  Fixed values.
 MARKS = {"utf-8": "EFBBBF", "utf-16le": "FFFE", "utf-16be": "FEFF", "utf-32le": "FFFE0000", "utf-32be": "0000FEFF"}
@@ -88,7 +89,7 @@ def safe_segment(value: Column, fallback: Column) -> Column:
 
 def file_name(workbook: Column, index: Column, sheet: Column) -> Column:
     """``book_001_sheet.md``."""
-    book = safe_segment(F.regexp_replace(workbook, r"(?i)\.xlsx$", ""), F.lit("workbook"))
+    book = safe_segment(F.regexp_replace(book_title(workbook), r"(?i)\.xlsx$", ""), F.lit("workbook"))
     return F.concat(book, F.lit("_"), F.lpad(index.cast("string"), 3, "0"), F.lit("_"), safe_segment(sheet, F.concat(F.lit("Sheet"), index.cast("string"))), F.lit(".md"))
 
 
@@ -97,12 +98,13 @@ def file_name(workbook: Column, index: Column, sheet: Column) -> Column:
 
 def combined(sheets: DataFrame) -> DataFrame:
     """One row a workbook: file_name and content, its heading once and the sheets in order."""
-    heading = F.concat(F.lit("# Book: "), F.col("workbook"))
-    body = F.when(F.startswith(F.col("markdown"), heading), F.regexp_replace(F.expr("substring(markdown, length(concat('# Book: ', workbook)) + 1)"), r"^\n+", "")).otherwise(F.col("markdown"))
+    title = book_title(F.col("workbook"))
+    heading = F.concat(F.lit("# Book: "), title)
+    body = F.when(F.startswith(F.col("markdown"), heading), F.regexp_replace(F.substring("markdown", F.length(heading) + 1, F.length("markdown")), r"^\n+", "")).otherwise(F.col("markdown"))
     rows = sheets.select("workbook", "sheet_index", body.alias("body")).where(F.trim("body") != "")
     rows = rows.groupBy("workbook").agg(F.array_sort(F.collect_list(F.struct("sheet_index", "body"))).alias("x"))
     content = F.concat_ws("\n\n", heading, F.array_join(F.transform("x", lambda r: r["body"]), "\n\n"))
-    return rows.select("workbook", F.concat(F.regexp_replace("workbook", r"(?i)\.xlsx$", ""), F.lit(".md")).alias("file_name"), content.alias("content"))
+    return rows.select("workbook", F.concat(F.regexp_replace(title, r"(?i)\.xlsx$", ""), F.lit(".md")).alias("file_name"), content.alias("content"))
 
 
 def payload(sheets: DataFrame, encoding: str | None = None, bom: str | None = None) -> DataFrame:

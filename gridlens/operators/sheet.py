@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown
 from ..functions.address import address_of
 from ..sources.package import raw_tree
-from ..sources.workbook import Workbooks
+from ..sources.workbook import Workbooks, book_title
 from . import grid, layout, shapes
 from .grid import SHEET
 
@@ -149,7 +149,7 @@ def sheet_markdown(books: Workbooks, options: Options = Options()) -> DataFrame:
         out = out.withColumn("shapes_text", F.lit(None).cast("string"))
     part = lambda c: F.coalesce(F.concat(F.lit("\n\n"), F.col(c)), F.lit(""))
     text = F.concat(
-        F.lit("# Book: "), F.col("workbook"), F.lit("\n\n## Sheet: "), F.col("sheet_name"), F.lit("\n\n"), F.coalesce("body", F.lit(EMPTY_BODY)),
+        F.lit("# Book: "), book_title(F.col("workbook")), F.lit("\n\n## Sheet: "), F.col("sheet_name"), F.lit("\n\n"), F.coalesce("body", F.lit(EMPTY_BODY)),
         F.lit("\n"), part("charts_text"), F.lit("\n"), part("shapes_text"), F.lit("\n"), part("images_text"),
     )
     out = out.withColumn("markdown", text).drop("body", "charts_text", "shapes_text", "images_text")

@@ -1,6 +1,10 @@
 """Formulas inside workbooks: a graph of cells, evaluated on demand.
 
-A cell is computed once, after the cells that it reads; a cycle reads as blank.  Cached values win over evaluation.
+A cell is computed once, after the cells that it reads, from a stack of our own: chains of any length are evaluated.
+Cached values win over evaluation, but an empty one is evaluated when another formula reads it.
+
+Cycles: cells are taken in order of sheet and place.  While a cell that another one reads is being computed, it reads as
+blank; the cell taken first is not marked so itself, and its last value counts.  So ``A1=A2+1`` with ``A2=A1+1`` gives 3 and 2.
 """
 
 from __future__ import annotations
@@ -8,8 +12,9 @@ from __future__ import annotations
 import datetime as dt
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,7 +71,16 @@ class Book:
     today: dt.date | None = None
 
 
-MISSING = object()
+Place = tuple[str, int, int]
+_tree = lru_cache(maxsize=10_000)(parse)
+
+
+class _Unread(Exception):
+    """Cells that have to be computed first."""
+
+    def __init__(self, cells: list[Place]):
+        super().__init__()
+        self.cells = cells
 
 
 class Evaluator:
@@ -75,38 +89,75 @@ class Evaluator:
 
     def value(self, sheet: str, row: int, col: int) -> str:
         """A cell's text; formulas that fail read as blank."""
+        self.settle((sheet, row, col))
+        return self.read(sheet, row, col)
+
+    def read(self, sheet: str, row: int, col: int) -> str:
+        """The text of a cell that is known, or being computed."""
         if sheet not in self.book.sheets:
             return "#REF!"
         at = (sheet, row, col)
         if at not in self.book.formulas:
             return self.book.values.get(at, "")
+        if at in self.done:
+            return self.done[at] or ""
         if at in self.running:
             return ""
-        if at not in self.done:
-            self.running.add(at)
+        raise _Unread([at])
+
+    def settle(self, first: Place, marked: bool = True) -> None:
+        """Computes a cell and all that it reads.  marked: whether it reads as blank where a cycle comes back to it."""
+        if first not in self.book.formulas or first in self.done:
+            return
+        self.running = {first} if marked else set()
+        stack: list[tuple[Place, list[Place]]] = [(first, [])]
+        while stack:
+            at, before = stack[-1]
+            if before:
+                nearest = before.pop()
+                if nearest not in self.done and nearest not in self.running:
+                    self.running.add(nearest)
+                    stack.append((nearest, []))
+                continue
             try:
-                self.done[at] = self.formula(sheet, self.book.formulas[at], row, col)
-            finally:
-                self.running.discard(at)
-        return self.done[at] or ""
+                self.done[at] = self.attempt(at[0], self.book.formulas[at], *at[1:])
+            except _Unread as u:
+                before += reversed(u.cells)
+                continue
+            stack.pop()
+            self.running.discard(at)
 
     def formula(self, sheet: str, text: str, row: int = 0, col: int = 0) -> str | None:
         """A formula's result as text, None where it cannot be evaluated."""
+        while True:
+            try:
+                return self.attempt(sheet, text, row, col)
+            except _Unread as u:
+                for at in u.cells:
+                    self.settle(at)
+
+    def attempt(self, sheet: str, text: str, row: int, col: int) -> str | None:
+        """:meth:`formula`, or :class:`_Unread` if it reads a cell that is not known yet."""
         try:
-            return serialized(_Scope(self, sheet, row, col).run(parse(text)))
-        except (FormulaError, Unsupported, TypeError, ValueError, IndexError, OverflowError, ZeroDivisionError, RecursionError):
+            return serialized(_Scope(self, sheet, row, col).run(_tree(text)))
+        except (FormulaError, Unsupported, TypeError, ValueError, IndexError, OverflowError, ZeroDivisionError):
             return None
 
     def matrix(self, sheet: str, area: tuple[int, int, int, int]) -> list[list]:
         r1, c1, r2, c2 = area
-        return [[scalar(self.value(sheet, r, c)) for c in range(c1, c2 + 1)] for r in range(r1, r2 + 1)]
+        places = [[(sheet, r, c) for c in range(c1, c2 + 1)] for r in range(r1, r2 + 1)]
+        formulas, done, running = self.book.formulas, self.done, self.running
+        unread = [p for line in places for p in line if p in formulas and p not in done and p not in running]
+        if unread:
+            raise _Unread(unread)
+        return [[scalar(self.read(*p)) for p in line] for line in places]
 
     def name(self, sheet: str, name: str):
         """A defined name's value; the sheet's own before the workbook's."""
         text = self.book.names.get((sheet, key(name))) or self.book.names.get(("", key(name)))
         if not text:
             return None
-        return _Scope(self, sheet, 0, 0).run(parse(text))
+        return _Scope(self, sheet, 0, 0).run(_tree(text))
 
 
 class _Scope:
@@ -122,7 +173,7 @@ class _Scope:
             case Array(rows=rows):
                 return [[self.run(x) for x in r] for r in rows]
             case Cell(ref=ref, sheet=s):
-                return scalar(self.owner.value(s or self.sheet, *address.cell(ref)))
+                return scalar(self.owner.read(s or self.sheet, *address.cell(ref)))
             case Name(name=n, sheet=s):
                 return self.owner.name(s or self.sheet, n)
             case Range():
@@ -138,8 +189,15 @@ class _Scope:
                 return scalars.number(self.run(x)) / 100
             case Binary(op=" ", left=a, right=b):
                 return self.intersection(a, b)
-            case Binary(op=op, left=a, right=b):
-                return self.binary(op, self.run(a), self.run(b))
+            case Binary():
+                rest = []  # long sums lean to the left: no recursion along them
+                while isinstance(node, Binary) and node.op != " ":
+                    rest.append((node.op, node.right))
+                    node = node.left
+                out = self.run(node)
+                for op, right in reversed(rest):
+                    out = self.binary(op, out, self.run(right))
+                return out
             case Call(name=name, args=args):
                 return self.call(name, args)
         raise FormulaError(f"cannot be evaluated: {node}")
@@ -241,47 +299,70 @@ class _Scope:
 
 
 RESULT = "workbook string, sheet_index int, row int, col int, resolved string"
+NAME = ("sheet", "name", "formula")
+TABLE = ("sheet", "name", "start", "end", "columns", "header_rows", "totals_rows")
 
 
 def resolve(cells: DataFrame, names: DataFrame, tables: DataFrame) -> DataFrame:
-    """(workbook, sheet_index, row, col, resolved) of the formulas without a cached value.
+    """(workbook, sheet_index, row, col, resolved) of the formulas without a cached value, and of those with an empty one that
+    another formula reads.
 
-    cells(workbook, sheet_index, sheet_name, row, col, formula, pending, value), names(workbook, sheet, name, formula),
-    tables(workbook, sheet, name, start, end, columns, header_rows, totals_rows).  Only workbooks with a pending formula
-    are gathered, each in one task: a workbook is the unit that a formula can reach.
+    cells(workbook, sheet_index, sheet_name, ord, row, col, formula, pending, empty, value), names(workbook, sheet, name,
+    formula), tables(workbook, sheet, name, start, end, columns, header_rows, totals_rows).  pending: to be evaluated;
+    empty: to be evaluated if it is read.  Only workbooks with a pending formula are gathered; the rows of each stream into
+    one task in order, since a workbook is the unit that a formula can reach.  Empty tables give an empty table.
     """
     busy = cells.where("pending").select("workbook").distinct()
-    cells = cells.join(busy, "workbook", "left_semi")
-    books = cells.groupBy("workbook").agg(F.collect_list(F.struct("sheet_index", "sheet_name", "row", "col", "formula", "pending", "value")).alias("cells"))
-    names = names.groupBy("workbook").agg(F.collect_list(F.struct("sheet", "name", "formula")).alias("names"))
-    tables = tables.groupBy("workbook").agg(F.collect_list(F.struct("sheet", "name", "start", "end", "columns", "header_rows", "totals_rows")).alias("tables"))
-    books = books.join(names, "workbook", "left").join(tables, "workbook", "left")
+    rows = cells.select("workbook", F.lit(2).alias("kind"), "sheet_index", "sheet_name", F.col("ord").cast("long").alias("ord"), "row", "col", "formula", "pending", "empty", "value")
+    rows = rows.unionByName(names.select("workbook", F.lit(0).alias("kind"), *NAME), allowMissingColumns=True)
+    rows = rows.unionByName(tables.select("workbook", F.lit(1).alias("kind"), *TABLE), allowMissingColumns=True)
+    rows = rows.join(busy, "workbook", "left_semi").repartition("workbook").sortWithinPartitions("workbook", "kind", "sheet_index", "ord", "row", "col")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book: _Reading | None = None
         for f in frames:
-            for b in f.itertuples(index=False):
-                yield pd.DataFrame(solve(b.workbook, b.cells, b.names, b.tables), columns=["workbook", "sheet_index", "row", "col", "resolved"])
+            for r in f.itertuples(index=False):
+                if book is None or book.name != r.workbook:
+                    if book is not None:
+                        yield book.frame()
+                    book = _Reading(r.workbook)
+                book.add(r)
+        if book is not None:
+            yield book.frame()
+
+    return rows.mapInPandas(run, RESULT)
+
 
-    return books.mapInPandas(run, RESULT)
+class _Reading:
+    """A workbook as its rows come in."""
 
+    def __init__(self, name: str):
+        self.name, self.book, self.pending, self.index = name, Book(), [], {}
 
-def solve(workbook: str, cells, names, tables) -> list[tuple]:
-    book, pending = Book(), []
-    for c in cells:
-        at = (c["sheet_name"], c["row"], c["col"])
-        book.sheets.add(c["sheet_name"])
-        if c["pending"]:
-            book.formulas[at] = c["formula"]
-            pending.append((c["sheet_index"], *at))
+    def add(self, r) -> None:
+        if r.kind == 0:
+            self.book.names[r.sheet or "", key(r.name)] = r.formula
+        elif r.kind == 1:
+            self.book.tables[key(r.name)] = ListObject(r.sheet, r.start, r.end, list(r.columns), int(r.header_rows), int(r.totals_rows))
         else:
-            book.values[at] = c["value"] or ""
-    for n in names if names is not None else ():
-        book.names[n["sheet"] or "", key(n["name"])] = n["formula"]
-    for t in tables if tables is not None else ():
-        book.tables[key(t["name"])] = ListObject(t["sheet"], t["start"], t["end"], list(t["columns"]), t["header_rows"], t["totals_rows"])
+            at = (r.sheet_name, int(r.row), int(r.col))
+            self.book.sheets.add(r.sheet_name)
+            self.index[r.sheet_name] = int(r.sheet_index)
+            if r.pending or r.empty:
+                self.book.formulas[at] = r.formula
+            else:
+                self.book.values[at] = r.value or ""
+            if r.pending:
+                self.pending.append(at)
+
+    def frame(self) -> pd.DataFrame:
+        found = [(self.name, self.index[at[0]], at[1], at[2], text) for at, text in solved(self.book, self.pending).items()]
+        return pd.DataFrame(found, columns=["workbook", "sheet_index", "row", "col", "resolved"])
+
+
+def solved(book: Book, pending: Iterable[Place]) -> dict[Place, str | None]:
+    """The results of the pending formulas in their order, and of all that they read."""
     run = Evaluator(book)
-    out = []
-    for index, sheet, row, col in pending:
-        run.value(sheet, row, col)
-        out.append((workbook, index, row, col, run.done.get((sheet, row, col))))
-    return out
+    for at in pending:
+        run.settle(at, marked=False)
+    return run.done

@@ -44,21 +44,23 @@ def unzip(data: bytes) -> dict[str, bytes]:
                 raise PackageError("the package is too large")
             if any(i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) for i in infos):
                 raise PackageError("only stored and deflated entries are read")
-            return {i.filename.replace("\\", "/"): _entry(data, z, i) for i in infos}
+            parts, room = {}, MOST_BYTES  # what the parts really hold counts, not what the package says of them
+            for i in infos:
+                part = _entry(data, z, i, room)
+                parts[i.filename.replace("\\", "/")] = part
+                room -= len(part)
+            return parts
     except (zipfile.BadZipFile, zlib.error, EOFError) as e:
         raise PackageError(str(e)) from e
 
 
-def _entry(data: bytes, z: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes:
-    """An entry's bytes, whether or not its checksum is right."""
+def _entry(data: bytes, z: zipfile.ZipFile, info: zipfile.ZipInfo, room: int) -> bytes:
+    """An entry's bytes, at most ``room`` of them, whether or not its checksum is right."""
     at = info.header_offset
     start = at + 30 + int.from_bytes(data[at + 26 : at + 28], "little") + int.from_bytes(data[at + 28 : at + 30], "little")
     raw = data[start : start + info.compress_size]
-    if info.compress_type == zipfile.ZIP_STORED:
-        return raw
-    inflate = zlib.decompressobj(-15)
-    out = inflate.decompress(raw, MOST_BYTES)
-    if inflate.unconsumed_tail:
+    out = raw if info.compress_type == zipfile.ZIP_STORED else zlib.decompressobj(-15).decompress(raw, room + 1)
+    if len(out) > room:
         raise PackageError("the package is too large")
     return out
 

@@ -1,59 +1,65 @@
 """Workbooks as DataFrames: one scan of the packages, then joins.
 
-``read`` unzips each package once (a map over files) and writes what it holds, by kind, to Parquet; every table below
-reads its own kind only.  Shared strings and styles join their cells by workbook and index.
+``read`` unzips each package once (a map over files) and writes what it holds, by kind, to Parquet, a struct column for
+each kind; every table below reads its own kind and fields only.  A workbook's key is its whole path, so books of one name
+in different folders stay apart (:func:`book_title` gives the name).  Shared strings and styles join their cells by workbook
+and index.
 """
 
 from __future__ import annotations
 
-import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formats, markdown
 from ..functions.coerce import strip
 from ..plans import evaluate
+from ..scratch import shared_folder
 from . import package
 from .formulas import shift
 
 BOOK = "workbook"
 RUN = "struct<text:string,bold:boolean,italic:boolean,strike:boolean,underline:boolean>"
 STYLE = "struct<bold:boolean,italic:boolean,strike:boolean,underline:boolean>"
+#: Fields of what a package holds, by kind.
 KINDS = {
-    "sheet": "sheet_index int, name string, path string",
-    "name": "name string, formula string, sheet string",
-    "string": f"idx int, text string, runs array<{RUN}>",
-    "style": "idx int, top boolean, bottom boolean, left boolean, right boolean, num_fmt_id int, code string, bold boolean, italic boolean, strike boolean, underline boolean",
-    "cell": f"sheet_index int, ord long, address string, row int, col int, type string, style int, has_value boolean, value string, formula string, formula_type string, shared_id string, formula_ref string, inline string, runs array<{RUN}>",
-    "merge": "sheet_index int, ord int, ref string, start_row int, start_col int, end_row int, end_col int",
-    "link": "sheet_index int, ord int, start_row int, start_col int, end_row int, end_col int, kind string, target string, location string, tooltip string, display string",
-    "object": "sheet_index int, sheet string, name string, start string, end string, columns array<string>, header_rows int, totals_rows int",
-    "image": "sheet_index int, no int, anchor string, row int, col int, filename string, path string, media string",
-    "chart": "sheet_index int, no int, anchor string, row int, col int, path string, title string, type string, series array<struct<name:string,categories:string,values:string,axis:string>>",
-    "shape": "sheet_index int, no int, anchor string, name string, kind string, text string, width long, height long, left long, top long, right long, bottom long, raw_entries array<struct<key:string,value:string>>, svg_file string, svg_path string, svg string",
-    "error": "message string",
+    "sheet": "sheet_index:int, name:string, path:string",
+    "name": "name:string, formula:string, sheet:string",
+    "string": f"idx:int, text:string, runs:array<{RUN}>",
+    "style": "idx:int, top:boolean, bottom:boolean, left:boolean, right:boolean, num_fmt_id:int, code:string, bold:boolean, italic:boolean, strike:boolean, underline:boolean",
+    "cell": f"sheet_index:int, ord:long, address:string, row:int, col:int, type:string, style:int, has_value:boolean, value:string, formula:string, formula_type:string, shared_id:string, formula_ref:string, inline:string, runs:array<{RUN}>",
+    "merge": "sheet_index:int, ord:int, ref:string, start_row:int, start_col:int, end_row:int, end_col:int",
+    "link": "sheet_index:int, ord:int, start_row:int, start_col:int, end_row:int, end_col:int, kind:string, target:string, location:string, tooltip:string, display:string",
+    "object": "sheet_index:int, sheet:string, name:string, start:string, end:string, columns:array<string>, header_rows:int, totals_rows:int",
+    "image": "sheet_index:int, no:int, anchor:string, row:int, col:int, filename:string, path:string, media:string",
+    "chart": "sheet_index:int, no:int, anchor:string, row:int, col:int, path:string, title:string, type:string, series:array<struct<name:string,categories:string,values:string,axis:string>>",
+    "shape": "sheet_index:int, no:int, anchor:string, name:string, kind:string, text:string, width:long, height:long, left:long, top:long, right:long, bottom:long, raw_entries:array<struct<key:string,value:string>>, svg_file:string, svg_path:string, svg:string",
+    "error": "message:string",
 }
-ROW = "workbook string, kind string, body string, data binary"
+ROW = "workbook string, data binary, " + ", ".join(f"`{k}` struct<{d}>" for k, d in KINDS.items())
+BATCH = 20_000  # rows of a package written at a time
 
 
-def contents(name: str, data: bytes, shapes: bool = True) -> list[tuple[str, str, str, bytes | None]]:
-    """(workbook, kind, JSON, bytes) of everything in a package; a package that cannot be read has one ``error`` row."""
+def contents(name: str, data: bytes, shapes: bool = True) -> list[tuple[str, dict, bytes | None]]:
+    """(kind, fields, bytes) of everything in a package; a package that cannot be read has one ``error`` row."""
     try:
-        return list(_contents(name, data, shapes))
+        return list(_contents(data, shapes))
     except package.PackageError as e:
-        return [(name, "error", json.dumps({"message": str(e)}, ensure_ascii=False), None)]
+        return [("error", {"message": str(e)}, None)]
 
 
-def _contents(name: str, data: bytes, shapes: bool) -> Iterator[tuple[str, str, str, bytes | None]]:
+def _contents(data: bytes, shapes: bool) -> Iterator[tuple[str, dict, bytes | None]]:
     def row(kind: str, body: dict, raw: bytes | None = None):
-        return name, kind, json.dumps(body, ensure_ascii=False), raw
+        return kind, body, raw
 
     parts = package.unzip(data)
     sheets, names = package.catalog(parts)
@@ -84,28 +90,36 @@ def unzip(files: DataFrame) -> DataFrame:
                     parts = package.unzip(c)
                 except package.PackageError:
                     continue
-                yield pd.DataFrame({"workbook": book_name(p), "path": list(parts), "data": list(parts.values())})
+                yield pd.DataFrame({"workbook": p, "path": list(parts), "data": list(parts.values())})
 
     return files.select("path", "content").mapInPandas(run, "workbook string, path string, data binary")
 
 
-def book_name(path: str) -> str:
-    return path.rstrip("/").rpartition("/")[2]
+def book_title(workbook: Column) -> Column:
+    """A workbook's name: the last part of its path."""
+    return F.regexp_extract(workbook, "([^/]*)/*$", 1)
 
 
 def scan(files: DataFrame, shapes: bool = True) -> DataFrame:
-    """Everything in the packages of ``files(path, content)``: workbook, kind, body (JSON), data."""
+    """Everything in the packages of ``files(path, content)``: workbook, kind, data and a struct for each kind, null in rows of
+    other kinds."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(frames):
-        for f in frames:
-            for p, c in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame(contents(book_name(p), c, shapes), columns=["workbook", "kind", "body", "data"])
-
-    return files.select("path", "content").mapInPandas(run, ROW)
+    schema = T.StructType.fromDDL(f"kind string, {ROW}")
+    arrow = to_arrow_schema(schema)
 
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                for kind, rows in groupby(contents(path, content, shapes), key=lambda r: r[0]):
+                    rows = list(rows)
+                    for at in range(0, len(rows), BATCH):
+                        part = rows[at : at + BATCH]
+                        n = len(part)
+                        given = {"workbook": pa.array([path] * n), "kind": pa.array([kind] * n), "data": pa.array([x for *_, x in part], pa.binary()), kind: pa.array([x for _, x, _ in part], arrow.field(kind).type)}
+                        yield pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridlens-")).rstrip("/")
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 @dataclass
@@ -119,12 +133,12 @@ class Workbooks:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written beside the scan and read back: what several outputs share is computed once, and a lost executor
         does not send them back to the packages."""
-        path = f"{self.where or shared_folder(self.spark)}-{name}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.where or shared_folder(self.spark) + '/workbooks'}-{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def kind(self, kind: str) -> DataFrame:
-        return self.rows.where(F.col("kind") == kind).select(BOOK, F.from_json("body", KINDS[kind]).alias("b")).select(BOOK, "b.*")
+        return self.rows.where(F.col("kind") == kind).select(BOOK, f"{kind}.*")
 
     @cached_property
     def sheets(self) -> DataFrame:
@@ -140,7 +154,7 @@ class Workbooks:
 
     @cached_property
     def images(self) -> DataFrame:
-        return self.rows.where("kind = 'image'").select(BOOK, F.from_json("body", KINDS["image"]).alias("b"), "data").select(BOOK, "b.*", "data")
+        return self.rows.where("kind = 'image'").select(BOOK, "image.*", "data")
 
     @cached_property
     def charts(self) -> DataFrame:
@@ -161,7 +175,8 @@ class Workbooks:
     @cached_property
     def styles(self) -> DataFrame:
         s = self.kind("style")
-        return s.withColumn("code", F.coalesce("code", formats.builtin_code(F.col("num_fmt_id"))))
+        s = s.withColumn("code", F.coalesce("code", formats.builtin_code(F.col("num_fmt_id"))))
+        return s.withColumn("shown", formats.shown_of(F.col("code"), F.col("num_fmt_id")))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -176,7 +191,7 @@ class Workbooks:
         """Cells with their value, format and formula, formulas without a cached value unresolved."""
         c = shared_formulas(self.kind("cell"))
         c = c.withColumnRenamed("style", "style_index")
-        s = self.styles.select(BOOK, F.col("idx").alias("style_index"), *[F.col(x).alias(f"s_{x}") for x in ("top", "bottom", "left", "right", "num_fmt_id", "code", "bold", "italic", "strike", "underline")])
+        s = self.styles.select(BOOK, F.col("idx").alias("style_index"), *[F.col(x).alias(f"s_{x}") for x in ("top", "bottom", "left", "right", "num_fmt_id", "code", "shown", "bold", "italic", "strike", "underline")])
         c = c.join(s, [BOOK, "style_index"], "left")
         index = F.when(F.col("type") == "s", F.when(F.col("value") == "", 0).otherwise(F.col("value").try_cast("int")))
         strings = self.kind("string").select(BOOK, F.col("idx").alias("string_index"), F.col("text").alias("string"), F.col("runs").alias("string_runs"))
@@ -192,15 +207,16 @@ class Workbooks:
         # what other formulas read of a cell: text as shown, numbers raw
         as_read = F.when(F.col("formula") != "", F.coalesce(F.when(F.col("raw_value") != F.col("formula"), F.col("raw_value")), F.when(F.col("output_value") != F.col("formula"), F.col("output_value")), F.lit("")))
         as_read = as_read.otherwise(F.when(F.col("value_type").isin("s", "inlineStr", "str", "e", "b"), F.col("output_value")).otherwise(F.col("raw_value")))
-        facts = c.select(BOOK, "sheet_index", "sheet_name", "row", "col", "formula", F.coalesce(pending, F.lit(False)).alias("pending"), as_read.alias("value"))
+        empty = F.col("cached_value_state") == "present_empty"
+        facts = c.select(BOOK, "sheet_index", "sheet_name", "ord", "row", "col", "formula", F.coalesce(pending, F.lit(False)).alias("pending"), F.coalesce(empty & (F.col("resolution_status") == "resolved"), F.lit(False)).alias("empty"), as_read.alias("value"))
         found = evaluate.resolve(facts, self.defined_names, self.list_objects.select(BOOK, "sheet", "name", "start", "end", "columns", "header_rows", "totals_rows"))
         c = c.join(found, [BOOK, "sheet_index", "row", "col"], "left")
         done = F.col("resolved").isNotNull()
-        shown = F.coalesce(formats.display(F.col("resolved"), F.col("format_code"), F.col("num_fmt_id")), F.col("resolved"))
+        shown = F.coalesce(formats.display_struct(F.col("resolved"), F.col("shown")), F.col("resolved"))
         return self.keep(c.withColumns({
             "output_value": F.when(done, shown).otherwise(F.col("output_value")), "raw_value": F.when(done, F.col("resolved")).otherwise(F.col("raw_value")),
             "resolution_status": F.when(done, "resolved").otherwise(F.col("resolution_status")), "resolution_source": F.when(done, "ast_evaluator").otherwise(F.col("resolution_source")),
-        }).drop("resolved"), "cells")
+        }).drop("resolved", "shown"), "cells")
 
     @cached_property
     def extents(self) -> DataFrame:
@@ -228,7 +244,7 @@ def extracted(c: DataFrame) -> DataFrame:
     code, fmt = F.coalesce("s_code", F.lit("General")), F.coalesce("s_num_fmt_id", F.lit(0))
     has = F.col("formula") != ""
     external = has & F.col("formula").rlike(r"(?i)\[[^\]]+\.xlsx\]")
-    shown = F.coalesce(formats.display(F.col("value"), code, fmt), F.col("value"))
+    shown = F.coalesce(formats.display_struct(F.col("value"), F.col("s_shown")), F.col("value"))
     kind = F.col("type")
     truth = F.when(F.col("value") == "1", "TRUE").otherwise("FALSE")
     own_text = F.when(kind == "s", F.coalesce("string", F.lit(""))).when(kind == "inlineStr", F.col("inline")).when(kind == "b", truth).when(kind.isin("str", "e"), F.col("value")).otherwise(shown)
@@ -245,7 +261,7 @@ def extracted(c: DataFrame) -> DataFrame:
         raw.alias("raw_value"), output.alias("output_value"), "formula", status.alias("resolution_status"), source.alias("resolution_source"),
         F.when(has & ~F.col("has_value"), "absent").when(has & (F.col("value") == ""), "present_empty").when(has, "present_nonempty").alias("cached_value_state"),
         "style_index", *[F.coalesce(F.col(f"s_{s}"), F.lit(False)).alias(s) for s in ("top", "bottom", "left", "right")],
-        fmt.alias("num_fmt_id"), code.alias("format_code"), style.alias("text_style"), runs.alias("rich_text_runs"), "formula_type", "formula_ref", "hyperlink",
+        fmt.alias("num_fmt_id"), code.alias("format_code"), style.alias("text_style"), runs.alias("rich_text_runs"), "formula_type", "formula_ref", "hyperlink", F.col("s_shown").alias("shown"),
     )
 
 
@@ -259,7 +275,7 @@ def from_files(spark: SparkSession, files: DataFrame, shapes: bool = True, keep:
     """Workbooks from ``files(path, content)``; what they hold is written by kind to ``keep`` or the shared folder."""
     where = keep or f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
     scan(files, shapes).write.partitionBy("kind").parquet(where)
-    return Workbooks(spark, spark.read.schema("workbook string, body string, data binary, kind string").parquet(where), where)
+    return Workbooks(spark, spark.read.schema(f"{ROW}, kind string").parquet(where), where)
 
 
 def trimmed(c: Column) -> Column:

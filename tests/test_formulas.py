@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 from gridlens.functions import scalars
-from gridlens.plans.evaluate import Book, Evaluator, ListObject, key
+from gridlens.plans.evaluate import Book, Evaluator, ListObject, key, solved
 from gridlens.plans.lexer import FormulaError, tokens
 from gridlens.plans.parser import Array, Binary, Call, Cell, Literal, Name, Postfix, Range, Structured, Unary, function_names, parse
 from gridlens.sources.formulas import moved
@@ -72,6 +72,36 @@ def test_names_tables_spills_and_cycles():
     assert run.formula("S", "=ROW()", 12, 3) == "12" and run.formula("S", "=COLUMN()", 12, 3) == "3"
 
 
+@pytest.mark.parametrize("n", [10, 1000, 20_000])
+def test_long_chains(n):
+    """Each cell reads the one below; and a running total down a column."""
+    b = book([], {(r, 1): f"=A{r + 1}+1" for r in range(1, n)} | {(r, 2): f"=B{r - 1}+{r}" for r in range(2, n + 1)} | {(n, 1): "=1", (1, 2): "=1"})
+    run = Evaluator(b)
+    assert run.value("S", 1, 1) == str(n) and run.value("S", n, 2) == str(n * (n + 1) // 2)
+
+
+def test_long_sums_and_wide_ranges():
+    n = 3000
+    b = book([], {(r, 1): f"={r}" for r in range(1, n + 1)} | {(1, 2): f"=SUM(A1:A{n})", (2, 2): "=" + "+".join(f"A{r}" for r in range(1, n + 1))})
+    run = Evaluator(b)
+    assert run.value("S", 1, 2) == run.value("S", 2, 2) == str(n * (n + 1) // 2)
+    assert function_names("=" + "+".join(["ABS(1)"] * 2000)) == ["ABS"] * 2000
+
+
+def test_branches_not_taken_are_not_evaluated():
+    b = book([["1"]], {(1, 2): "=IF(A1>0,5,C1)", (1, 3): "=B1+1"})
+    assert [solved(b, [("S", 1, 2), ("S", 1, 3)])[at] for at in (("S", 1, 2), ("S", 1, 3))] == ["5", "6"]
+
+
+def test_cycles_have_one_result():
+    two = {("S", 1, 1): "=A2+1", ("S", 2, 1): "=A1+1"}
+    for order in (list(two), list(two)[::-1]):
+        first, second = order
+        got = solved(Book(formulas={at: two[at] for at in order}, sheets={"S"}), order)
+        assert (got[first], got[second]) == ("3", "2")
+    assert solved(Book(formulas={("S", 1, 1): "=A1+1"}, sheets={"S"}), [("S", 1, 1)]) == {("S", 1, 1): "2"}
+
+
 def test_trees():
     assert parse("=A1+B2*3") == Binary("+", Cell("A1"), Binary("*", Cell("B2"), Literal(3.0)))
     assert parse("(A1+B1)%") == Postfix("%", Binary("+", Cell("A1"), Cell("B1")))
@@ -82,7 +112,8 @@ def test_trees():
     assert parse("=T[[#Totals],[a b]]") == Structured("T", "a b", "#Totals")
     assert parse("=-A1&\"x\"") == Binary("&", Unary("-", Cell("A1")), Literal("x"))
     assert parse("=sum(1)") == Call("SUM", (Literal(1.0),))
-    for bad in ("=1+", "=(1", "=2^3", "=\"open", "=1 2", "=}"):
+    deep = "(" * 200 + "1" + ")" * 200
+    for bad in ("=" + deep, "=" + "-" * 200 + "1", "=1+", "=(1", "=2^3", "=\"open", "=1 2", "=}"):
         with pytest.raises(FormulaError):
             parse(bad)
     assert function_names("=SUM(IF(A1,1,2))") == ["SUM", "IF"] and function_names("=(") == []

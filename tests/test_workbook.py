@@ -56,12 +56,12 @@ def books(spark, tmp_path_factory):
 
 
 def cells(books, sheet_index):
-    return {r.address: r for r in books.cells.where(f"workbook = 'main.xlsx' and sheet_index = {sheet_index}").collect()}
+    return {r.address: r for r in books.cells.where(f"workbook like '%/main.xlsx' and sheet_index = {sheet_index}").collect()}
 
 
 def test_catalog_and_errors(books):
-    assert [(r.sheet_index, r.name) for r in books.sheets.where("workbook = 'main.xlsx'").orderBy("sheet_index").collect()] == [(1, "My Sheet"), (2, "Other"), (3, "Empty")]
-    assert {r.workbook for r in books.errors.collect()} == {"broken.xlsx", "dtd.xlsx", "no-book.xlsx"}
+    assert [(r.sheet_index, r.name) for r in books.sheets.where("workbook like '%/main.xlsx'").orderBy("sheet_index").collect()] == [(1, "My Sheet"), (2, "Other"), (3, "Empty")]
+    assert {r.workbook.rpartition("/")[2] for r in books.errors.collect()} == {"broken.xlsx", "dtd.xlsx", "no-book.xlsx"}
     assert {(r.name, r.sheet) for r in books.defined_names.collect()} == {("Total", None), ("Total", "Other")}
 
 
