@@ -6,8 +6,6 @@ Grids: ``lineitem`` as cells (row = order key, column = line number, borders fro
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +15,8 @@ from . import export
 from .functions import address, coerce, formats, markdown
 from .functions.library import register_sql
 from .operators import grid, layout, lookups, shapes
-from .operators.sheet import Options, sheet_markdown
 from .plans import evaluate
 from .plans.compile import aggregate, column, project, where
-from .sources.workbook import from_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,12 +179,36 @@ def lookup_xlookup_wildcard(spark, sf_dir):
     return lookups.wildcard(_brands(spark, sf_dir), "p_name", "p_name", ["*widget", "RED ?ing", "no~*thing"], "p_partkey")
 
 
-@query("select l_orderkey, l_linenumber, l_quantity, (l_quantity::bigint // 7) * 7 as step from lineitem")
+@query("""with recursive t as (select row_number() over (order by o_orderkey) - 1 as i, o_totalprice as k, o_orderkey as v from orders), n as (select count(*) as n from t),
+    p as (select c_custkey, c_acctbal * 30 as x, 0::bigint as low, n - 1 as high, null::bigint as best, null::double as best_k, false as hit from customer, n
+      union all select p.c_custkey, p.x, case when t.k <> p.x and t.k < p.x then t.i + 1 else p.low end, case when t.k <> p.x and t.k > p.x then t.i - 1 else p.high end,
+        case when t.k = p.x or t.k < p.x and (p.best_k is null or t.k > p.best_k) then t.v else p.best end, case when t.k < p.x and (p.best_k is null or t.k > p.best_k) then t.k else p.best_k end, t.k = p.x
+      from p join t on t.i = (p.low + p.high) // 2 where p.low <= p.high and not p.hit)
+    select c_custkey, coalesce(arg_max(best, high - low < 0 or hit)::varchar, '#N/A') as step from (select *, row_number() over (partition by c_custkey order by high - low, hit desc) as last from p) where last = 1 group by c_custkey""")
 def lookup_xlookup_binary(spark, sf_dir):
-    """A sorted table: the as-of join of binary search, here by bisection of a step table."""
-    steps = spark.range(0, 60, 7).select((F.col("id") / 7 + 1).cast("int").alias("pos"), F.col("id").cast("double").alias("k"), F.col("id").cast("string").alias("v"))
-    out = lookups.approximate(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), steps, "k", "v", "step")
-    return out.select("l_orderkey", "l_linenumber", "l_quantity", F.col("step").cast("bigint").alias("step"))
+    """The probes of a binary search in an unsorted table, whatever they hit; next smaller."""
+    orders = lookups.with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    asked = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") * 30).alias("x"))
+    return lookups.binary(asked, F.col("x"), orders, "o_totalprice", "o_orderkey", "step", match=-1, small=1000).select("c_custkey", "step")
+
+
+_PRICES = "o as (select o_orderkey as pos, o_totalprice as k from orders), a as (select c_custkey, round(c_acctbal * 30, 2) as x from customer)"
+
+
+@query(f"""with {_PRICES} select c_custkey, coalesce(coalesce((select min(pos) from o where k = x), (select max(pos) from o where k <= x))::varchar, '#N/A') as step from a""")
+def lookup_vlookup_approx_large(spark, sf_dir):
+    """An unsorted table that is too large for a literal."""
+    return _by_price(spark, sf_dir, -1, False)
+
+
+@query(f"""with {_PRICES} select c_custkey, coalesce(coalesce((select max(pos) from o where k = x), (select max(pos) from o where k >= x))::varchar, '#N/A') as step from a""")
+def lookup_xlookup_next_larger_last(spark, sf_dir):
+    return _by_price(spark, sf_dir, 1, True)
+
+
+def _by_price(spark, sf_dir, mode, last):
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 30, 2).alias("x"))
+    return lookups.approximate(asked, F.col("x"), table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", "step", mode, last, "o_orderkey", small=1000).select("c_custkey", "step")
 
 
 @query("select e.event_id, coalesce(arg_max(t.v, t.k), '#N/A') as band from events e left join (select i::double as k, 'b' || i as v from range(0, 200, 25) r(i)) t on t.k <= e.value group by e.event_id")
@@ -288,12 +308,21 @@ def fn_text_format(spark, sf_dir):
     return out.select("o_orderkey", "grouped", "fixed", "padded", "slashes", "dashes")
 
 
-@query("select event_id, false as blank, false as num_of_text, true as txt, true as num, event_type = 'error' as na, event_type = 'error' as err from events")
+@query("""select event_id, event_type = 'click' as blank, event_type <> 'click' as txt, event_type = 'view' as num_of_text, value is not null as num, event_type = 'error' as na, event_type in ('error', 'purchase') as err from events""")
 def fn_is_predicates(spark, sf_dir):
-    out = project(table(spark, sf_dir, "events"), blank="=ISBLANK([props])", num_of_text="=ISNUMBER([props])", txt="=ISTEXT([props])", num="=ISNUMBER([value])", na='=ISNA(IF([event_type]="error",NA(),"x"))', err='=ISERROR(IF([event_type]="error","#N/A","x"))')
+    out = project(
+        table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "view", "1,200").when(F.col("event_type") != "click", F.col("event_type")).otherwise("")),
+        blank="=ISBLANK([kind])", num_of_text="=ISNUMBER([kind])", txt='=AND(ISTEXT([event_type]),NOT([kind]=""))', num="=ISNUMBER([value])",
+        na='=ISNA(IF([event_type]="error",NA(),"x"))', err='=ISERROR(IF([event_type]="error","#N/A",IF([event_type]="purchase","#DIV/0!","#x")))',
+    )
     return out.select("event_id", "blank", "num_of_text", "txt", "num", "na", "err")
 
 
+@query("select o_orderkey, (o_orderkey % 3)::double as today from orders")
+def fn_today(spark, sf_dir):
+    return project(table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey") % 3), today="=TODAY()-TODAY()+[k]").select("o_orderkey", "today")
+
+
 @query("""select l_orderkey, l_linenumber, l_quantity / 3 * 100 as a, l_quantity || '|' || l_returnflag as b, l_quantity <= l_discount * 300 as c, -l_tax as d, l_quantity / 100 as pct,
     case when l_tax = 0 then 'Infinity' else 'finite' end as by_zero from (select *, l_quantity::bigint as q from lineitem)""".replace("l_quantity || '|'", "q || '|'"))
 def fn_operators(spark, sf_dir):
@@ -306,11 +335,11 @@ def fn_filter(spark, sf_dir):
     return where(table(spark, sf_dir, "orders"), '=AND([o_totalprice]>150000,[o_orderpriority]<>"5-LOW")').select("o_orderkey", "o_totalprice")
 
 
-@query("select c_custkey, floor(c_acctbal * 10 + 0.5) / 10 as rounded, '#VALUE!' = '#VALUE!' as wrong from customer")
+@query("select c_custkey, floor(c_acctbal * 10 + 0.5) / 10 as rounded, c_acctbal < 0 as wrong, left(c_name, 4) as lft from customer")
 def fn_sql_functions(spark, sf_dir):
     """The functions that SQL text may call."""
     register_sql(spark)
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", "xl_round(c_acctbal, 1) as rounded", "xl_is_error('#VALUE!') as wrong")
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", "xl_round(c_acctbal, 1) as rounded", "xl_is_error(if(c_acctbal < 0, '#VALUE!', '#CALC!')) as wrong", "xl_left(c_name, 4) as lft")
 
 
 # ---------------------------------------------------------------- formats and addresses
@@ -334,6 +363,27 @@ def fmt_scientific(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", formats.display(text("l_extendedprice"), "0.0000000E+00").alias("science"), formats.display(text("l_quantity"), "# ?/?", 12).alias("whole"), formats.display(text("l_tax"), '#,##0.00;-#,##0.00;"-"').alias("zero"))
 
 
+@query("""select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as both, strftime(ts, '%H:%M:%S') as clock, month(ts) || '月' || day(ts) || '日' as short,
+    case when year(ts) >= 2019 then '令和' || (year(ts) - 2018) when year(ts) >= 1989 then '平成' || (year(ts) - 1988) else year(ts)::varchar end || '年' || month(ts) || '月' || day(ts) || '日' as era,
+    array_to_string(string_split(user_id::varchar, ''), ' ') as apart from (select event_id, date_trunc('second', ts) as ts, user_id from events)""")
+def fmt_dates(spark, sf_dir):
+    """Date codes without a way of their own, eras, and digits apart (format 186)."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.date_trunc("second", "ts"))
+    serial = coerce.num_to_text(F.datediff("at", F.lit("1899-12-30").cast("date")) + (F.hour("at") * 3600 + F.minute("at") * 60 + F.second("at")) / 86400)
+    show = lambda code: formats.display(serial, code)
+    return e.select("event_id", show("m/d/yy h:mm").alias("both"), show("h:mm AM/PM").alias("clock"), show("m月d日").alias("short"), show("[$-411]ggge年m月d日").alias("era"), formats.display(F.col("user_id").cast("string"), "General", 186).alias("apart"))
+
+
+@query("""select o_orderkey, case o_orderkey % 4 when 0 then format('{:,.2f}', o_totalprice) when 1 then printf('%.1f', o_totalprice * 100) || '%'
+    when 2 then year(o_orderdate) || '/' || month(o_orderdate) || '/' || day(o_orderdate) else null end as shown from orders""")
+def fmt_by_row(spark, sf_dir):
+    """Codes from a column, read by distinct value."""
+    k, price = F.col("o_orderkey") % 4, F.col("o_totalprice")
+    code = F.when(k == 0, "#,##0.00").when(k == 1, "0.0%").when(k == 2, "yyyy/m/d").otherwise("General")
+    raw = F.when(k == 2, F.datediff("o_orderdate", F.lit("1899-12-30").cast("date")).cast("string")).otherwise(coerce.num_to_text(price))
+    return table(spark, sf_dir, "orders").select("o_orderkey", formats.display(raw, code, F.lit(0)).alias("shown"))
+
+
 @query("""with n as (select p_partkey, p_partkey % 18278 + 1 as c from part), l as (select p_partkey, c,
     case when c <= 26 then chr((64 + c)::int) when c <= 702 then chr((64 + (c - 1) // 26)::int) || chr((65 + (c - 1) % 26)::int)
     else chr((64 + (c - 27) // 676)::int) || chr((65 + ((c - 27) // 26) % 26)::int) || chr((65 + (c - 1) % 26)::int) end as letters from n)
@@ -346,20 +396,32 @@ def addr_roundtrip(spark, sf_dir):
 # ---------------------------------------------------------------- grid
 
 
+SHEET_ROWS = 50
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as sheets of 500 orders."""
+    """``lineitem`` as sheets of ``SHEET_ROWS`` orders: numbers, short words and blanks, some with borders."""
     t = table(spark, sf_dir, "lineitem")
-    at = t.select(F.lit("lineitem").alias("workbook"), F.floor(F.col("l_orderkey") / 500).cast("int").alias("sheet_index"), (F.col("l_orderkey") % 500 + 1).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), "l_returnflag", "l_linestatus", "l_quantity")
-    flag = lambda c, v: F.bool_or(F.col(c) == v)
+    at = t.select(F.lit("lineitem").alias("workbook"), F.floor(F.col("l_orderkey") / SHEET_ROWS).cast("int").alias("sheet_index"), (F.col("l_orderkey") % SHEET_ROWS + 1).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), "l_returnflag", "l_linestatus", "l_quantity", "l_tax")
+    q = F.max("l_quantity")
+    low, high = F.col("l_tax") < 0.035, F.col("l_tax") > 0.045
+    flag = lambda c, v, also: F.bool_or((F.col(c) == v) & also)
     return at.groupBy("workbook", "sheet_index", "row", "col").agg(
-        F.when(F.max("l_quantity") > 20, coerce.num_to_text(F.max("l_quantity"))).otherwise("").alias("value"),
-        flag("l_returnflag", "R").alias("top"), flag("l_linestatus", "F").alias("bottom"), flag("l_returnflag", "A").alias("left"), flag("l_linestatus", "O").alias("right"),
+        F.when(q > 20, coerce.num_to_text(q)).when(q < 12, F.concat(F.max("l_returnflag"), F.lit("-"), F.max("l_linestatus"))).otherwise("").alias("value"),
+        flag("l_returnflag", "R", low).alias("top"), flag("l_linestatus", "F", low).alias("bottom"), flag("l_returnflag", "A", high).alias("left"), flag("l_linestatus", "O", high).alias("right"),
     )
 
 
-_CELLS = """cells as (select 'lineitem' as workbook, (l_orderkey // 500)::int as sheet_index, (l_orderkey % 500 + 1)::int as row, l_linenumber::int as col,
-    case when max(l_quantity) > 20 then max(l_quantity)::bigint::varchar else '' end as value, bool_or(l_returnflag = 'R') as t, bool_or(l_linestatus = 'F') as b,
-    bool_or(l_returnflag = 'A') as l, bool_or(l_linestatus = 'O') as r from lineitem group by all)"""
+def sheet_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged places on those sheets: two columns where a third line is large."""
+    at = table(spark, sf_dir, "lineitem").where("l_linenumber = 3 and l_quantity > 44")
+    row = (F.col("l_orderkey") % SHEET_ROWS + 1).cast("int")
+    return at.select(F.lit("lineitem").alias("workbook"), F.floor(F.col("l_orderkey") / SHEET_ROWS).cast("int").alias("sheet_index"), row.alias("start_row"), F.lit(3).alias("start_col"), row.alias("end_row"), F.lit(4).alias("end_col"))
+
+
+_CELLS = f"""cells as (select 'lineitem' as workbook, (l_orderkey // {SHEET_ROWS})::int as sheet_index, (l_orderkey % {SHEET_ROWS} + 1)::int as row, l_linenumber::int as col,
+    case when max(l_quantity) > 20 then max(l_quantity)::bigint::varchar when max(l_quantity) < 12 then max(l_returnflag) || '-' || max(l_linestatus) else '' end as value, bool_or(l_returnflag = 'R' and l_tax < 0.035::double) as t, bool_or(l_linestatus = 'F' and l_tax < 0.035::double) as b,
+    bool_or(l_returnflag = 'A' and l_tax > 0.045::double) as l, bool_or(l_linestatus = 'O' and l_tax > 0.045::double) as r from lineitem group by all)"""
 _PLACES = """places as (select distinct sheet_index, row + dr as row, col + dc as col from cells, (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(dr, dc)
     where (dr = 0 and dc = 0) or (dr = 1 and true) or true),
     n as (select p.sheet_index, p.row, p.col, c.row is not null as present, coalesce(c.value, '') as value, coalesce(c.t, false) as t, coalesce(c.b, false) as b, coalesce(c.l, false) as l, coalesce(c.r, false) as r,
@@ -380,16 +442,76 @@ def grid_edge_stats(spark, sf_dir):
     return counts(grid.edge_stats(cells(spark, sf_dir)), "non_empty", "bordered", "raw_bordered", "tops", "bottoms", "longest").drop("workbook")
 
 
-@query()
+def _components_sql(name: str, seeds: str, joined: str) -> str:
+    """Tables ``name``_l (seed and the least place of its component) by ``seeds`` and the condition ``joined`` of x and its
+    right or lower neighbour y; box, cells and texts of each component in ``name``."""
+    return f"""{name}_s as (select sheet_index as s, row, col, row * 1000 + col as pl, value, t, b, l, r from cells where {seeds}),
+    {name}_h as (select x.s, x.pl as p, y.pl as q from {name}_s x join {name}_s y on x.s = y.s and (y.row = x.row and y.col = x.col + 1 or y.row = x.row + 1 and y.col = x.col) where {joined}),
+    {name}_e as (select s, p, q from {name}_h union all select s, q, p from {name}_h),
+    {name}_l(s, pl, label) using key (s, pl) as (select s, pl, pl from {name}_s union
+      select e.s, e.q, min(n.label) from {name}_l n join {name}_e e on e.s = n.s and e.p = n.pl join recurring.{name}_l o on o.s = e.s and o.pl = e.q where n.label < o.label group by e.s, e.q),
+    {name} as (select s, label, min(row) as r1, min(col) as c1, max(row) as r2, max(col) as c2, count(*) as members, count(*) filter (where value <> '') as texts, coalesce(sum(length(value)) filter (where value <> ''), 0) as letters
+      from {name}_l join {name}_s using (s, pl) group by s, label)"""
+
+
+def _candidates_sql(name: str, of: str, rejected: str) -> str:
+    """Components as scored and trimmed candidates: s, label, box, score, reasons."""
+    return f"""{name}_x as (select g.*, (r2 - r1 + 1) as nr, (c2 - c1 + 1) as nc, (r2 - r1 + 1) * (c2 - c1 + 1) as size, texts::double / ((r2 - r1 + 1) * (c2 - c1 + 1)) as density, greatest(2, ceil((c2 - c1 + 1) * 0.5::double)) as half,
+      (select count(*) from {of}_l m join {of}_s v on v.s = m.s and v.pl = m.pl where m.s = g.s and m.label = g.label and v.row = g.r1 and length(v.value) between 1 and 24 and not regexp_full_match(v.value, '[0-9]+([.][0-9]+)?')) as header,
+      (select count(*) from mg where mg.s = g.s and not (mg.r < g.r1 or mg.r > g.r2 or 4 < g.c1 or 3 > g.c2)) as merges,
+      (select count(*) from n where n.sheet_index = g.s and n.row between g.r1 and g.r2 and n.col between g.c1 and g.c2 and (nt or nb or nl or nr)) as bordered from {of} g where r2 > r1 and c2 > c1),
+    {name}_y as (select *, 2 + case when bordered >= greatest(2, ceil(members * 0.3::double)) then 3 else 0 end + case when density >= 0.55::double then 2 else 0 end + case when density >= 0.8::double then 1 else 0 end
+        + case when header >= 2 then 2 else 0 end - case when merges >= greatest(2, ceil(size * 0.08::double)) then 1 else 0 end - case when letters / greatest(1, texts) > 36 and density < 0.7::double then 2 else 0 end as score,
+      concat_ws('; ', 'At least 2x2 (+2)', case when bordered >= greatest(2, ceil(members * 0.3::double)) then 'Has borders (+3)' end, case when density >= 0.55::double then 'High density (+2)' end, case when density >= 0.8::double then 'Very high density (+1)' end,
+        case when header >= 2 then 'Header-like first row (+2)' end, case when merges >= greatest(2, ceil(size * 0.08::double)) then 'Many merged cells (-1)' end, case when letters / greatest(1, texts) > 36 and density < 0.7::double then 'Mostly long prose (-2)' end) as reasons
+      from {name}_x where not (merges >= 2 and density < 0.25::double and ({rejected}))),
+    {name}_r as (select y.s, y.label, y.r1, y.r2, y.half, q.r, (select count(*) filter (where value <> '') from n where n.sheet_index = y.s and n.row = q.r and n.col between y.c1 and y.c2) as filled,
+        coalesce((select max(length(value)) from n where n.sheet_index = y.s and n.row = q.r and n.col between y.c1 and y.c2), 0) as longest, (select count(*) from n where n.sheet_index = y.s and n.row = q.r and n.col between y.c1 and y.c2 and (nt or nb or nl or nr)) as lined,
+        (select count(*) from n where n.sheet_index = y.s and n.row = q.r and n.col between y.c1 and y.c2 and (t or b or l or r)) as raw, (select count(*) from n where n.sheet_index = y.s and n.row = q.r and n.col between y.c1 and y.c2 and nt) as tops,
+        (select count(*) from n where n.sheet_index = y.s and n.row = q.r and n.col between y.c1 and y.c2 and nb) as bottoms from {name}_y y, unnest(range(y.r1, y.r2 + 1)) q(r) where y.score >= 4),
+    {name}_t as (select *, r < r2 and filled <= 2 and raw = 0 and lead(lined) over o >= half and lead(filled) over o >= half as title, raw = 0 and filled <= 1 as bare,
+      lag(lined) over o >= half or lag(bottoms) over o >= half or tops >= half as under, longest >= 12 and lag(filled) over o >= half as note from {name}_r window o as (partition by s, label order by r)),
+    {name}_u as (select *, min(r) filter (where not title) over (partition by s, label) as top from {name}_t),
+    {name}_v as (select *, coalesce(min(r) filter (where r > top and under and bare) over (partition by s, label) - 1, r2) as low from {name}_u),
+    {name}_w as (select s, label, min(top) as top, max(r) filter (where r between top and low and (r = top or not (bare and (under or note)))) as low from {name}_v group by s, label),
+    {name} as (select y.s, y.label, w.top as r1, y.c1, w.low as r2, y.c2, y.score, y.reasons, (w.low - w.top + 1) * (y.c2 - y.c1 + 1) as area from {name}_y y join {name}_w w using (s, label))"""
+
+
+def _tables_sql(mode: str) -> str:
+    """Table detection: components, candidates, the second pass where the first found little, and pruning."""
+    line = "(y.row = x.row and (x.t and y.t or x.b and y.b or x.r and y.l) or y.row > x.row and (x.l and y.l or x.r and y.r or x.b and y.t))"
+    box = "{'r1': r1, 'c1': c1, 'r2': r2, 'c2': c2, 'score': score, 'reasons': reasons, 'area': area}"
+    parts = [_CELLS, _PLACES, f"mg as (select (l_orderkey // {SHEET_ROWS})::int as s, (l_orderkey % {SHEET_ROWS} + 1)::int as r from lineitem where l_linenumber = 3 and l_quantity > 44)"]
+    parts += [_components_sql("g", "t or b or l or r", line if mode == "border" else "true"), _candidates_sql("k", "g", "header < 2")]
+    parts.append("first as (select * from (select *, row_number() over (partition by s, r1, c1, r2, c2 order by label) as nth from k) where nth = 1)")
+    if mode == "border":
+        parts.append(f"found as (select s, list({box}) as xs from first group by s)")
+    else:
+        parts += [_components_sql("h", "t or b or l or r or value <> ''", "true"), _candidates_sql("j", "h", "nr <= 6 and nc >= 10")]
+        parts.append(f"""h_order as (select h.s, h.label, row_number() over (partition by h.s order by h.label) as i, h.r1, h.c1, h.r2, h.c2, (h.r2 - h.r1 + 1) * (h.c2 - h.c1 + 1) as area, k.x
+      from h left join (select s, label, {box} as x from j) k on k.s = h.s and k.label = h.label),
+    steps(s, i, xs) as (select h.s, 0::bigint, coalesce((select list({box}) from first f where f.s = h.s), []) from (select distinct s from h) h union all
+      select s, i, case when x is null or many or len(list_filter(xs, lambda y: y.r1 = x.r1 and y.c1 = x.c1 and y.r2 = x.r2 and y.c2 = x.c2)) > 0 then xs else list_append(xs, x) end from (
+        select st.s, o.i, st.xs, o.x, len(list_filter(ins, lambda a: a >= o.area * 0.4::double)) > 0 or len(ins) >= 2 and list_sum(ins) >= o.area * 0.6::double as many
+        from (select st.*, o2.i as next, list_transform(list_filter(st.xs, lambda y: y.r1 >= o2.r1 and y.c1 >= o2.c1 and y.r2 <= o2.r2 and y.c2 <= o2.c2), lambda y: y.area) as ins from steps st join h_order o2 on o2.s = st.s and o2.i = st.i + 1) st join h_order o on o.s = st.s and o.i = st.next)),
+    found as (select s, arg_max(xs, i) as xs from steps group by s)""")
+    parts.append("listed as (select s, unnest(xs) as x, xs from found)")
+    parts.append("""sifted as (select s, x, list_transform(list_filter(xs, lambda y: y.r1 >= x.r1 and y.c1 >= x.c1 and y.r2 <= x.r2 and y.c2 <= x.c2 and y.area < x.area), lambda y: y.area) as less from listed)""")
+    return "with recursive " + ",\n    ".join(parts) + """
+    select 'lineitem' as workbook, s as sheet_index, x.r1::int as start_row, x.c1::int as start_col, x.r2::int as end_row, x.c2::int as end_col, x.score::int as score, x.reasons as reasons
+    from sifted where len(list_filter(less, lambda a: a >= x.area * 0.4::double)) = 0 and not (len(less) >= 2 and list_sum(less) >= x.area * 0.6::double)"""
+
+
+@query(_tables_sql("balanced"))
 def grid_table_candidates(spark, sf_dir):
-    found = grid.detect_tables(cells(spark, sf_dir))
+    found = grid.detect_tables(cells(spark, sf_dir), sheet_merges(spark, sf_dir))
     return found.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query()
+@query(_tables_sql("border"))
 def grid_border_tables(spark, sf_dir):
     """Border mode: neighbours connect by lines alone."""
-    found = grid.detect_tables(cells(spark, sf_dir), mode="border")
+    found = grid.detect_tables(cells(spark, sf_dir), sheet_merges(spark, sf_dir), mode="border")
     return found.withColumn("reasons", F.array_join("reasons", "; "))
 
 
@@ -428,21 +550,30 @@ def op_intersection(spark, sf_dir):
     return rounded(evaluate.resolve(cells, names, tables).select(order.alias("l_orderkey"), F.col("resolved").cast("double").alias("both")), "both")
 
 
-@query("""select n_nationkey::int + 1 as row, 1 as col, n_nationkey::varchar as value from nation union all select n_nationkey::int + 1, 2, n_name from nation union all select n_nationkey::int + 1, 3, n_regionkey::varchar from nation""")
-def grid_melt(spark, sf_dir):
-    """A table as cells."""
-    n = table(spark, sf_dir, "nation")
-    parts = F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value")) for i, c in enumerate(n.columns, 1)])
-    return n.select((F.col("n_nationkey") + 1).cast("int").alias("row"), F.explode(parts).alias("p")).select("row", "p.*")
+@query(f"""with {_MERGES}, r as (select m.*, unnest(range(r1, r2 + 1)) as row from m), p as (select ord, row, unnest(range(c1, c2 + 1)) as col from r) select row::int as row, col::int as col, count(*)::bigint as boxes, max(ord)::bigint as latest from p group by row, col""")
+def grid_dense(spark, sf_dir):
+    """Every place of every box."""
+    return grid.dense_grid(_merges(spark, sf_dir)).groupBy("row", "col").agg(F.count("*").alias("boxes"), F.max("ord").cast("bigint").alias("latest"))
 
 
-@query("""with g as (select l_orderkey as k, l_linenumber as c, max(l_returnflag) as v from lineitem group by all), b as (select k, min(c) as c1, max(c) as c2 from g group by k)
-    select k, string_agg(coalesce(g.v, ''), '|' order by x.c) as cells from (select k, unnest(range(c1, c2 + 1)) as c from b) x left join g using (k, c) group by k""")
+@query("""with g as (select l_orderkey as k, l_linenumber as c, max(case when l_quantity > 25 then l_returnflag else ' ' end) as v, max(l_suppkey % 3) as w from lineitem group by all),
+    b as (select k, min(c) as c1, max(c) as c2 from g group by k), x as (select k, c1, c2, unnest(range(c1, c2 + 1)) as c from b),
+    f as (select x.k, x.c, case when x.c = x.c1 + 1 and x.k % 2 = 0 then '[MERGED←]' else coalesce(trim(g.v), '') end as upper, coalesce(g.w::varchar, '') as lower from x left join g using (k, c))
+    select k, case when bool_or(upper not in ('', '[MERGED←]')) then string_agg(upper, '|' order by c) filter (where upper not in ('', '[MERGED←]') or lower <> '') end as upper,
+      string_agg(lower, '|' order by c) filter (where upper not in ('', '[MERGED←]') or lower <> '') as lower, bool_or(upper not in ('', '[MERGED←]')) as shown from f group by k""")
 def grid_matrix(spark, sf_dir):
-    """Sparse cells to dense rows: every place of each order's range, blanks included."""
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("c")).agg(F.max("l_returnflag").alias("v"))
-    full = t.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("at"))
-    return full.select("k", F.array_join(F.transform(F.sequence("c1", "c2"), lambda c: F.coalesce(F.try_element_at("at", c), F.lit(""))), "|").alias("cells"))
+    """Sparse cells to dense rows, merges marked, empty rows and columns left out: two rows of cells for each order.  An upper
+    row without text is left out."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("col"))
+    t = t.agg(F.max(F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).otherwise(" ")).alias("v"), F.max(F.col("l_suppkey") % 3).cast("string").alias("w"))
+    at = [F.col("k").cast("string").alias("workbook"), F.lit(1).alias("sheet_index")]
+    box = t.groupBy("k").agg(F.lit(1).alias("start_row"), F.min("col").alias("start_col"), F.lit(2).alias("end_row"), F.max("col").alias("end_col"))
+    merges = box.where("k % 2 = 0 and end_col > start_col").select(*at, "start_row", "start_col", F.lit(1).alias("end_row"), (F.col("start_col") + 1).alias("end_col"), F.lit(0).alias("ord"))
+    lines = t.select(*at, F.explode(F.array(F.struct(F.lit(1).alias("row"), "col", F.col("v").alias("value")), F.struct(F.lit(2).alias("row"), "col", F.col("w").alias("value")))).alias("c")).select("workbook", "sheet_index", "c.*")
+    made = grid.matrices(box.select("k", *at, "start_row", "start_col", "end_row", "end_col"), lines, merges)
+    both = F.size("matrix") > 1
+    upper = F.when(both, F.array_join(F.col("matrix")[0], "|"))
+    return made.select("k", upper.alias("upper"), F.array_join(F.element_at("matrix", -1), "|").alias("lower"), both.alias("shown"))
 
 
 # ---------------------------------------------------------------- layout
@@ -466,12 +597,34 @@ def layout_row_segments(spark, sf_dir):
     return layout.row_segments(event_cells(spark, sf_dir)).select("sheet_index", "row", "start_col", "text")
 
 
-@query()
+_BLOCKS = f"""{_SEGMENTS}, so as (select *, row_number() over (partition by sheet_index order by row, start_col) as i from sg),
+    fold(sheet_index, i, row, col, first_col, block, text) as (select sheet_index, i, row, start_col, start_col, 1, text from so where i = 1 union all
+      select s.sheet_index, s.i, s.row, s.start_col, case when s.row - f.row > 1 or abs(s.start_col - f.first_col) > 3 then s.start_col else f.first_col end, f.block + case when s.row - f.row > 1 or abs(s.start_col - f.first_col) > 3 then 1 else 0 end, s.text
+      from fold f join so s on s.sheet_index = f.sheet_index and s.i = f.i + 1),
+    items as (select *, row_number() over (partition by sheet_index, block order by i) as k, lead(col) over (partition by sheet_index, block order by i) as next from fold),
+    told(sheet_index, block, k, head, part, line, text) as (select sheet_index, block, k, case when next > col then col end, 1, false, case when next > col then '### ' || text else text end from items where k = 1 union all
+      select x.sheet_index, x.block, x.k, case when t.head is not null and x.col > t.head then t.head when x.next > x.col then x.col end, t.part + case when t.head is not null and x.col > t.head and t.line then 0 else 1 end,
+        t.head is not null and x.col > t.head, case when t.head is not null and x.col > t.head then '- ' || x.text when x.next > x.col then '### ' || x.text else x.text end
+      from told t join items x on x.sheet_index = t.sheet_index and x.block = t.block and x.k = t.k + 1)"""
+
+
+@query(f"""with recursive {_BLOCKS}, parts as (select sheet_index, block, part, string_agg(text, chr(10) order by k) as text from told group by sheet_index, block, part),
+    texts as (select sheet_index, block, string_agg(text, chr(10) || chr(10) order by part) as text from parts group by sheet_index, block)
+    select i.sheet_index, i.block::int as block, arg_min(row, k)::int as start_row, arg_min(col, k)::int as start_col, arg_max(row, k)::int as end_row, max(col)::int as end_col, min(t.text) as text, coalesce(bool_or(k = 1 and next > col), false) as heading
+    from items i join texts t on t.sheet_index = i.sheet_index and t.block = i.block group by i.sheet_index, i.block""")
 def layout_narrative_blocks(spark, sf_dir):
     b = layout.narrative_blocks(layout.row_segments(event_cells(spark, sf_dir)))
     return b.select("sheet_index", "block", "start_row", "start_col", "end_row", "end_col", layout.narrative_text(F.col("items")).alias("text"), layout.is_heading_block(F.col("items")).alias("heading"))
 
 
+@query(f"with {_EVENTS} select sheet_index, row, col, value from ec where not (row between 5 and 9 and col between 1 + sheet_index % 5 and 12)")
+def layout_outside(spark, sf_dir):
+    """Cells that no table covers."""
+    c = event_cells(spark, sf_dir)
+    tables = c.select("workbook", "sheet_index").distinct().select("workbook", "sheet_index", F.lit(5).alias("start_row"), (1 + F.col("sheet_index") % 5).alias("start_col"), F.lit(9).alias("end_row"), F.lit(12).alias("end_col"))
+    return layout.outside(c, tables).select("sheet_index", "row", "col", "value")
+
+
 @query("""with a as (select user_id::int as sheet_index, day(ts)::int * 3 as r1, (hour(ts) + 1)::int as c1, day(ts)::int * 3 + (event_id % 4)::int as r2, (hour(ts) + 2)::int as c2 from events),
     p as (select *, max(r2) over (partition by sheet_index order by r1, c1, r2, c2 rows between unbounded preceding and 1 preceding) as reach from a),
     s as (select *, sum(case when reach is null or r1 - reach > 4 then 1 else 0 end) over (partition by sheet_index order by r1, c1, r2, c2 rows between unbounded preceding and current row) as section from p)
@@ -493,11 +646,11 @@ def layout_numbering(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    left, top = F.col("p_partkey") % 20 * 3_000_000, F.floor(F.col("p_partkey") / 20) % 50 * 1_300_000
+    left, top = F.col("p_partkey") % 20 * 3_000_000 + F.col("p_partkey") * 7919 % 1_900_000, F.floor(F.col("p_partkey") / 20) % 50 * 1_300_000
     return p.select(F.floor(F.col("p_partkey") / 1000).cast("int").alias("sheet_index"), F.col("p_partkey").alias("no"), left.alias("left"), top.alias("top"), (left + F.col("p_size") * 20_000).alias("right"), (top + F.col("p_size") * 10_000).alias("bottom"))
 
 
-_BOXES = "bx as (select (p_partkey // 1000)::int as s, p_partkey as no, p_partkey % 20 * 3000000 as l, (p_partkey // 20) % 50 * 1300000 as t, p_partkey % 20 * 3000000 + p_size * 20000 as r, (p_partkey // 20) % 50 * 1300000 + p_size * 10000 as b from part)"
+_BOXES = "bx as (select (p_partkey // 1000)::int as s, p_partkey as no, p_partkey % 20 * 3000000 + p_partkey * 7919 % 1900000 as l, (p_partkey // 20) % 50 * 1300000 as t, p_partkey % 20 * 3000000 + p_partkey * 7919 % 1900000 + p_size * 20000 as r, (p_partkey // 20) % 50 * 1300000 + p_size * 10000 as b from part)"
 
 
 @query(f"""with {_BOXES} select x.s as sheet_index, x.no as a, y.no as b from bx x join bx y on x.s = y.s and x.no < y.no
@@ -506,7 +659,10 @@ def shape_gap_edges(spark, sf_dir):
     return shapes.gap_edges(_boxes(spark, sf_dir), ["sheet_index"])
 
 
-@query()
+@query(f"""with recursive {_BOXES}, near as (select x.s, x.no as p, y.no as q from bx x join bx y on x.s = y.s and x.no <> y.no and greatest(0, y.l - x.r, x.l - y.r) <= 2438400 and greatest(0, y.t - x.b, x.t - y.b) <= 1143000),
+    c(s, no, label) using key (s, no) as (select s, no, no from bx union select n.s, n.q, min(c.label) from c join near n on n.s = c.s and n.p = c.no join recurring.c o on o.s = n.s and o.no = n.q where c.label < o.label group by n.s, n.q)
+    select c.s as sheet_index, (min(t) // 190500 + 1)::int as start_row, (min(l) // 609600 + 1)::int as start_col, (max(b) // 190500 + 1)::int as end_row, (max(r) // 609600 + 1)::int as end_col, string_agg(c.no::varchar, ',' order by c.no) as shapes
+    from c join bx using (s, no) group by c.s, c.label""")
 def shape_blocks(spark, sf_dir):
     return shapes.blocks(_boxes(spark, sf_dir), ["sheet_index"]).withColumn("shapes", F.array_join(F.transform("shapes", lambda x: x.cast("string")), ","))
 
@@ -557,24 +713,50 @@ def md_heading_fragment(spark, sf_dir):
     return p.select("page_id", markdown.fragment(F.col("title")).alias("fragment"), markdown.internal_link(F.lit("x"), sheet, ref, F.lit(True)).alias("internal"))
 
 
-@query("""select c_custkey, case when c_acctbal > 5000 then '**' else '' end || case when c_nationkey % 2 = 0 then '*' else '' end || case when c_nationkey % 3 = 0 then '~~' else '' end ||
-    case when c_nationkey % 5 = 0 then '<ins>' else '' end || c_mktsegment || case when c_nationkey % 5 = 0 then '</ins>' else '' end || case when c_nationkey % 3 = 0 then '~~' else '' end ||
-    case when c_nationkey % 2 = 0 then '*' else '' end || case when c_acctbal > 5000 then '**' else '' end as styled from customer""")
+_MARKED = """case when {b} then '**' else '' end || case when {i} then '*' else '' end || case when {s} then '~~' else '' end || case when {u} then '<ins>' else '' end || {t} || case when {u} then '</ins>' else '' end || case when {s} then '~~' else '' end || case when {i} then '*' else '' end || case when {b} then '**' else '' end"""
+
+
+@query(f"""with r as (select c_custkey, c_name || c_mktsegment as x, c_acctbal > 5000 as b, c_nationkey % 2 = 0 as i, c_nationkey % 3 = 0 as s, c_nationkey % 5 = 0 as u from customer)
+    select c_custkey, case when s then {_MARKED.format(b="b", i="i", s="s", u="u", t="x || '.'")} else {_MARKED.format(b="b", i="i", s="s", u="u", t="x")} || {_MARKED.format(b="b", i="i", s="true", u="u", t="'.'")} end as styled, case when s then 1 else 2 end::int as runs from r""")
 def md_rich_github(spark, sf_dir):
+    """Three runs, of which the first two have one style and are merged; the third is struck, as a whole cell may be."""
     c = table(spark, sf_dir, "customer")
     n = F.col("c_nationkey")
+    flags = ("bold", "italic", "strike", "underline")
     style = F.struct((F.col("c_acctbal") > 5000).alias("bold"), (n % 2 == 0).alias("italic"), (n % 3 == 0).alias("strike"), (n % 5 == 0).alias("underline"))
-    run = F.struct(F.col("c_mktsegment").alias("text"), *[style[f].alias(f) for f in ("bold", "italic", "strike", "underline")])
-    return c.select("c_custkey", markdown.github_text(F.col("c_mktsegment"), style, markdown.merge_runs(F.array(run), style)).alias("styled"))
+    run = lambda text, **on: F.struct(text.alias("text"), *[F.lit(on.get(f, False)).alias(f) for f in flags])
+    merged = markdown.merge_runs(F.array(run(F.col("c_name")), run(F.col("c_mktsegment")), run(F.lit("."), strike=True)), style)
+    text = F.concat("c_name", "c_mktsegment", F.lit("."))
+    return c.select("c_custkey", markdown.github_text(text, style, merged).alias("styled"), F.size(merged).alias("runs"))
+
+
+@query(r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '^(\s*)([#>])', '\1\\\2'), '^(\s*)([-+*])(\s+)', '\1\\\2\3'), '^(\s*)([0-9]+)\.(\s+)', '\1\2\\.\3')) as line
+    from (select doc_id, case doc_id % 4 when 0 then '# ' when 1 then ' - ' when 2 then '12. ' else '' end || left(text, 40) as t from documents)""")
+def md_line_start(spark, sf_dir):
+    mark = F.when(F.col("doc_id") % 4 == 0, "# ").when(F.col("doc_id") % 4 == 1, " - ").when(F.col("doc_id") % 4 == 2, "12. ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(markdown.escape_line_start(F.concat(mark, F.left("text", F.lit(40)))).cast("binary")).alias("line"))
 
 
 # ---------------------------------------------------------------- diagnostics and export
 
 
-@query("select o_orderpriority, count(*)::bigint as n, count(*) filter (where o_orderstatus = 'F')::bigint as resolved, count(*) filter (where o_orderstatus = 'O')::bigint as fallback, case when min(o_totalprice) >= 7 then 'strong' else 'weak' end as label from orders group by o_orderpriority")
+@query("""select o_orderpriority as workbook, 1 as sheet_index, case o_orderstatus when 'F' then 'resolved' when 'O' then 'fallback_formula' else 'unsupported_external' end as status,
+    case when o_orderstatus = 'F' and o_orderkey % 2 = 0 then 'cached_value' when o_orderstatus = 'F' then 'ast_evaluator' when o_orderstatus = 'O' then 'formula_text' else 'external_unsupported' end as source, count(*)::bigint as n
+    from orders where o_orderkey % 5 <> 0 group by all""")
 def summary_counts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("resolved"), F.count_if(F.col("o_orderstatus") == "O").alias("fallback"), export.score_label(F.min("o_totalprice")).alias("label"))
+    """Formulas by state and source; cells without a formula do not count."""
+    status = F.col("o_orderstatus")
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("workbook"), F.lit(1).alias("sheet_index"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("=A1").alias("formula"),
+        F.when(status == "F", "resolved").when(status == "O", "fallback_formula").otherwise("unsupported_external").alias("resolution_status"),
+        F.when((status == "F") & (F.col("o_orderkey") % 2 == 0), "cached_value").when(status == "F", "ast_evaluator").when(status == "O", "formula_text").otherwise("external_unsupported").alias("resolution_source"),
+    )
+    return export.formula_counts(o)
+
+
+@query("select p_partkey, case when p_size % 10 >= 7 then 'strong' when p_size % 10 >= 4 then 'candidate' else 'weak' end as label from part")
+def summary_labels(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", export.score_label(F.col("p_size") % 10).alias("label"))
 
 
 @query("""with f as (select case n_nationkey % 3 when 0 then 'SUM,IF' when 1 then 'SUM' else 'VLOOKUP,IF,SUM' end as fs from nation) select fn as function, count(*)::bigint as n from (select unnest(string_split(fs, ',')) as fn from f) group by fn order by n desc, fn limit 12""")
@@ -591,84 +773,21 @@ def export_encode(spark, sf_dir):
     return c.select("c_custkey", F.hex(export.encoded(name)).alias("utf8"), F.hex(export.encoded(name, "utf-8", "on")).alias("marked"))
 
 
-@query()
+@query("""with h as (select c_custkey, hex(encode(c_name)) as h from customer), l as (select c_custkey, h, regexp_replace(h, '(..)', '\\1\\0', 'g') as x from h)
+    select c_custkey, h || 'C3A9E6BCA2' as utf_8, regexp_replace(h, '(..)', '\\100', 'g') || 'E900226F' as utf_16le, regexp_replace(h, '(..)', '00\\1', 'g') || '00E96F22' as utf_16be,
+      regexp_replace(h, '(..)', '\\1000000', 'g') || 'E9000000226F0000' as utf_32le, regexp_replace(h, '(..)', '000000\\1', 'g') || '000000E900006F22' as utf_32be, h || '3F8ABF' as shift_jis from h""")
 def export_encodings(spark, sf_dir):
-    c, name = table(spark, sf_dir, "customer"), F.col("c_name")
+    """Each encoding of a name and two more letters, one of which Shift_JIS lacks."""
+    c, name = table(spark, sf_dir, "customer"), F.concat("c_name", F.lit("é漢"))
     return c.select("c_custkey", *[F.hex(export.encoded(name, e)).alias(e.replace("-", "_")) for e in export.ENCODINGS])
 
 
-@query()
+@query(r"""select c_custkey, regexp_replace(c_name, '[^A-Za-z0-9._-]+', '_', 'g') || '_' || lpad(c_nationkey::varchar, 3, '0') || '_' || case c_custkey % 3 when 0 then 'Sheet' || c_nationkey when 1 then c_mktsegment || '_x.1' else 'full_' || c_mktsegment end || '.md' as name from customer""")
 def export_file_names(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", export.file_name(F.concat("c_name", F.lit(".xlsx")), F.col("c_nationkey"), F.col("c_mktsegment")).alias("name"))
-
-
-# ---------------------------------------------------------------- workbooks
-
-
-def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook for each nation, made of its customers: files(path, content)."""
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows"))
-
-    def run(frames):
-        for f in frames:
-            out = f[["c_nationkey"]].assign(content=[small_workbook([(r["c_name"], r["c_acctbal"]) for r in rows]) for rows in f["rows"]])
-            yield out.assign(path=out["c_nationkey"].map(lambda k: f"nation-{k}.xlsx"))[["path", "content"]]
-
-    return c.mapInPandas(run, "path string, content binary")
-
-
-def small_workbook(rows: list[tuple[str, float]]) -> bytes:
-    """A package with a bordered table of names and balances and a total without a cached value."""
-    def text(r, s):
-        return f'<c r="{r}" s="1" t="inlineStr"><is><t>{s}</t></is></c>'
-
-    lines = [f'<row r="2">{text("B2", "name")}{text("C2", "balance")}</row>']
-    for i, (name, balance) in enumerate(rows, 3):
-        lines.append(f'<row r="{i}">{text(f"B{i}", name)}<c r="C{i}" s="1"><v>{balance!r}</v></c></row>')
-    end = len(rows) + 2
-    lines.append(f'<row r="{end + 1}">{text(f"B{end + 1}", "total")}<c r="C{end + 1}" s="1"><f>ROUND(SUM(C3:C{end}),2)</f></c></row>')
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    border = '<border><left style="thin"/><right style="thin"/><top style="thin"/><bottom style="thin"/></border>'
-    parts = {
-        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Balances" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet {ns}><fonts><font/></fonts><borders><border/>{border}</borders><cellXfs><xf/><xf borderId="1" numFmtId="4"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet {ns}><sheetData>{"".join(lines)}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in parts.items():
-            z.writestr(name, data)
-    return out.getvalue()
-
-
-@query("""with t as (select c_nationkey, count(*) as n, floor(sum(c_acctbal) * 100 + 0.5) / 100 as total, min(c_custkey) as k from customer group by c_nationkey)
-    select 'nation-' || c_nationkey || '.xlsx' as workbook, 'B2-C' || (n + 3) as range, ((n + 2) * 2)::bigint as cells, format('{:,.2f}', total) as total from t""")
-def workbook_tables(spark, sf_dir):
-    """Packages to cells, formulas evaluated, tables found."""
-    books = from_files(spark, workbook_files(spark, sf_dir))
-    shown = books.cells.groupBy("workbook").agg(F.count("*").alias("cells"), F.max_by("output_value", F.struct("row", "col")).alias("total"))
-    boxes = books.cells.select("workbook", "sheet_index", "ord", "row", "col", F.col("output_value").alias("value"), *grid.SIDES)
-    found = grid.detect_tables(boxes, books.merges)
-    span = F.concat(address.address_of(F.col("start_row"), F.col("start_col")), F.lit("-"), address.address_of(F.col("end_row"), F.col("end_col")))
-    return found.select("workbook", span.alias("range")).join(shown, "workbook")
-
-
-@query()
-def workbook_end_to_end(spark, sf_dir):
-    """The whole way: packages to Markdown and summaries."""
-    books = from_files(spark, workbook_files(spark, sf_dir))
-    out = export.summary_text(sheet_markdown(books, Options()))
-    return out.select("workbook", "sheet_index", "file_name", "markdown", "summary")
-
-
-@query()
-def workbook_archives(spark, sf_dir):
-    books = from_files(spark, workbook_files(spark, sf_dir))
-    made = export.archives(export.entries(sheet_markdown(books, Options()), books.images, books.shapes))
-    return made.select("workbook", F.octet_length("archive").cast("bigint").alias("bytes"), F.crc32("archive").alias("crc32"))
+    """Names that need a fallback, hold signs that no file system takes, or wide letters."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    sheet = F.when(k == 0, " ?/ ").when(k == 1, F.concat(F.lit(" "), "c_mktsegment", F.lit(" : x.1__"))).otherwise(F.concat(F.lit("ｆｕｌｌ*"), "c_mktsegment"))
+    return c.select("c_custkey", export.file_name(F.concat(F.lit("s3://a/b.c/"), "c_name", F.lit(".xlsx")), F.col("c_nationkey"), sheet).alias("name"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,3 +806,5 @@ SQL["flagship"] = """with o as (select o_orderkey, coalesce(c_mktsegment, '#N/A'
     select segment, '| ' || segment || ' | ' || format('{:,.2f}', sum(case when l_quantity > 25 then l_extendedprice else 0 end)) || ' | ' || format('{:,.2f}', sum(l_extendedprice)) || ' |' as line
     from lineitem join o on l_orderkey = o_orderkey group by segment"""
 QUERIES["flagship"] = flagship
+
+from . import catalog_workbooks  # noqa: E402, F401  registers its queries here

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .coerce import DECIMAL, EPOCH, strip
+from .coerce import DECIMAL, EPOCH, let, strip
 
 #: Built-in number formats by id.  Fixed values.
 BUILTIN = {
@@ -160,21 +160,14 @@ def shown_of(code: Column, format_id: Column) -> Column:
 # ---------------------------------------------------------------- dates
 
 
-def date_parts(serial: Column) -> tuple[Column, Column]:
-    """(date, second of the day) of a serial, to the nearest millisecond."""
+def date_text(serial: Column, way: str) -> Column:
+    """A serial, to the nearest millisecond, in one of the ways of date codes."""
     whole = F.floor(serial)
     ms = whole * DAY_MS + F.floor((serial - whole) * DAY_MS + 0.5)
-    day = F.floor(ms / DAY_MS)
-    return F.date_add(F.lit(EPOCH).cast("date"), day.cast("int")), F.floor((ms - day * DAY_MS) / 1000).cast("int")
-
+    return let(ms, lambda ms: let(F.floor(ms / DAY_MS), lambda n: _date_in_way(F.date_add(F.lit(EPOCH).cast("date"), n.cast("int")), F.floor((ms - n * DAY_MS) / 1000).cast("int"), way)))
 
-def clock(seconds: Column) -> Column:
-    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds / 60).cast("int") % 60, seconds % 60)
 
-
-def date_text(serial: Column, way: str) -> Column:
-    """A serial in one of the ways of date codes."""
-    day, seconds = date_parts(serial)
+def _date_in_way(day: Column, second: Column, way: str) -> Column:
     y, m, d = F.year(day), F.month(day), F.day(day)
     if way == "slashes":
         return F.concat_ws("/", y, m, d)
@@ -182,12 +175,15 @@ def date_text(serial: Column, way: str) -> Column:
         short = F.concat(m.cast("string"), F.lit("月"), d.cast("string"), F.lit("日"))
         if way == "month_day":
             return short
-        out = F.concat(y.cast("string"), F.lit("年"), short)
+        year = y.cast("string")
         for first, name in reversed(ERAS):
-            out = F.when(y >= first, F.concat(F.lit(name), (y - first + 1).cast("string"), F.lit("年"), short)).otherwise(out)
-        return out
+            year = F.when(y >= first, F.concat(F.lit(name), (y - first + 1).cast("string"))).otherwise(year)
+        return F.concat(year, F.lit("年"), short)
     iso = F.date_format(day, "yyyy-MM-dd")
-    return {"date": iso, "time": clock(seconds)}[way] if way != "date_time" else F.concat(iso, F.lit(" "), clock(seconds))
+    if way == "date":
+        return iso
+    clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600).cast("int"), F.floor(second / 60).cast("int") % 60, second % 60)
+    return clock if way == "time" else F.concat(iso, F.lit(" "), clock)
 
 
 # ---------------------------------------------------------------- numbers
@@ -207,10 +203,10 @@ def half_away(x: Column, digits: int | Column) -> Column:
 def fixed(x: Column, digits: int | Column, commas: bool | Column) -> Column:
     """Fixed decimals, with or without commas between thousands."""
     out = F.call_function("format_number", half_away(x, digits), F.lit(digits) if isinstance(digits, int) else digits)
-    bare = F.replace(out, F.lit(","), F.lit(""))
+    bare = lambda t: F.replace(t, F.lit(","), F.lit(""))
     if isinstance(commas, bool):
-        return out if commas else bare
-    return F.when(commas, out).otherwise(bare)
+        return out if commas else bare(out)
+    return let(out, lambda t: F.when(commas, t).otherwise(bare(t)))
 
 
 def _printed(x: Column, digits: int | Column, letter: str) -> Column:
@@ -237,10 +233,10 @@ def fraction(x: Column) -> Column:
 
 def _number(x: Column, digits, commas, yen) -> Column:
     text = fixed(x, digits, commas)
-    signed = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("¥"), F.regexp_replace(text, "^-", ""))
+    signed = lambda t: F.concat(F.when(x < 0, "-").otherwise(""), F.lit("¥"), F.regexp_replace(t, "^-", ""))
     if isinstance(yen, bool):
-        return signed if yen else text
-    return F.when(yen, signed).otherwise(text)
+        return signed(text) if yen else text
+    return let(text, lambda t: F.when(yen, signed(t)).otherwise(t))
 
 
 def _in_way(way: str, raw: Column, x: Column, p) -> Column:
@@ -268,14 +264,13 @@ WAYS = (*DATE_WAYS, "percent", "apart", "plain_yen", "scientific", "fraction", "
 def display(raw: Column, code: str | Column, format_id: int | Column = 0) -> Column:
     """The shown text of a raw value, null where it is shown as it is.  Code and id are literals or columns."""
     if isinstance(code, str):
-        return of(raw, _double(raw), shown(code, format_id))
+        return let(_double(raw), lambda x: of(raw, x, shown(code, format_id)))
     return display_struct(raw, shown_of(code, format_id if isinstance(format_id, Column) else F.lit(format_id)))
 
 
 def _double(raw: Column) -> Column:
     """The number of a raw text; other texts, which are shown as they are, give null."""
-    s = strip(raw)
-    return F.when(s.rlike(rf"^{DECIMAL}$"), s.try_cast("double"))
+    return let(strip(raw), lambda s: F.when(s.rlike(rf"^{DECIMAL}$"), s.try_cast("double")))
 
 
 def of(raw: Column, x: Column, p: Shown) -> Column:
@@ -297,7 +292,8 @@ def of_struct(raw: Column, x: Column, p: Column) -> Column:
 
 def display_struct(raw: Column, p: Column) -> Column:
     """:func:`display` by a struct from :func:`shown_of`."""
-    return of_struct(raw, _double(raw), p)
+    # the struct is made outside of the lambda, which may hold no Python function
+    return let(F.struct(raw.alias("raw"), _double(raw).alias("x"), p.alias("p")), lambda v: of_struct(v["raw"], v["x"], v["p"]))
 
 
 def builtin_code(format_id: Column) -> Column:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -90,23 +92,38 @@ class CellBox:
         return self.top or self.bottom or self.left or self.right
 
 
-NOTHING = CellBox("", False, False, False, False)
-
-
 class Sheet:
     def __init__(self, cells: dict[tuple[int, int], CellBox], merges: list[tuple[int, int, int, int]], weights: Weights = Weights()):
         self.cells, self.merges, self.weights = cells, merges, weights
 
-    def at(self, r: int, c: int) -> CellBox:
-        return self.cells.get((r, c), NOTHING)
+    @cached_property
+    def lines(self) -> dict[str, dict[int, list[int]]]:
+        """By what to count and by row, the sorted columns: ``filled`` and ``raw`` (cells with text, with own lines), ``tops``,
+        ``bottoms``, ``lefts``, ``rights`` (places with that edge, owned by it or by its neighbour) and ``bordered`` (any)."""
+        at: dict[str, set[tuple[int, int]]] = {k: set() for k in ("filled", "raw", "tops", "bottoms", "lefts", "rights")}
+        for (r, c), x in self.cells.items():
+            if x.text:
+                at["filled"].add((r, c))
+            if x.bordered:
+                at["raw"].add((r, c))
+            for side, own, other, place in ((x.top, "tops", "bottoms", (r - 1, c)), (x.bottom, "bottoms", "tops", (r + 1, c)), (x.left, "lefts", "rights", (r, c - 1)), (x.right, "rights", "lefts", (r, c + 1))):
+                if side:
+                    at[own].add((r, c))
+                    at[other].add(place)
+        at["bordered"] = at["tops"] | at["bottoms"] | at["lefts"] | at["rights"]
+        out: dict[str, dict[int, list[int]]] = {}
+        for kind, places in at.items():
+            rows = out.setdefault(kind, {})
+            for r, c in sorted(places):
+                rows.setdefault(r, []).append(c)
+        return out
 
-    def edge(self, r: int, c: int, side: str) -> bool:
-        here = getattr(self.at(r, c), side)
-        dr, dc, other = {"top": (-1, 0, "bottom"), "bottom": (1, 0, "top"), "left": (0, -1, "right"), "right": (0, 1, "left")}[side]
-        return here or getattr(self.at(r + dr, c + dc), other)
+    def columns(self, kind: str, r: int, c1: int, c2: int) -> list[int]:
+        own = self.lines[kind].get(r, [])
+        return own[bisect_left(own, c1) : bisect_right(own, c2)]
 
-    def any_edge(self, r: int, c: int) -> bool:
-        return any(self.edge(r, c, s) for s in SIDES)
+    def edge(self, r: int, c: int, side: str) -> bool:
+        return bool(self.columns(f"{side}s", r, c, c))
 
     def joined(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
         """Whether borders join two neighbours: a line that runs along both, or an edge that both own."""
@@ -144,7 +161,7 @@ class Sheet:
         merges = sum(not (m[2] < r1 or m[0] > r2 or m[3] < c1 or m[1] > c2) for m in self.merges)
         if merges >= 2 and density < 0.25 and (header < 2 if from_borders else rows <= 6 and cols >= 10):
             return None
-        bordered = sum(self.any_edge(r, c) for r in range(r1, r2 + 1) for c in range(c1, c2 + 1))
+        bordered = sum(len(self.columns("bordered", r, c1, c2)) for r in range(r1, r2 + 1))
         length = sum(map(len, texts)) / max(1, len(texts))
         tests = [
             (True, w.min_grid, "At least 2x2"),
@@ -161,12 +178,8 @@ class Sheet:
         return self.trimmed(box), score, [f"{why} ({n:+d})" for ok, n, why in tests if ok]
 
     def row_stats(self, r: int, c1: int, c2: int) -> dict[str, int]:
-        cols = range(c1, c2 + 1)
-        texts = [t for t in (self.at(r, c).text for c in cols) if t]
-        return {
-            "filled": len(texts), "longest": max(map(len, texts), default=0), "bordered": sum(self.any_edge(r, c) for c in cols),
-            "raw": sum(self.at(r, c).bordered for c in cols), "tops": sum(self.edge(r, c, "top") for c in cols), "bottoms": sum(self.edge(r, c, "bottom") for c in cols),
-        }
+        out = {k: len(self.columns(k, r, c1, c2)) for k in ("filled", "bordered", "raw", "tops", "bottoms")}
+        return out | {"longest": max((len(self.cells[r, c].text) for c in self.columns("filled", r, c1, c2)), default=0)}
 
     def trimmed(self, box: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
         """The box without title rows on top, what follows its last lined row, and notes below."""
@@ -186,20 +199,20 @@ class Sheet:
     def tables(self, mode: str = "balanced") -> list[tuple[tuple[int, int, int, int], int, list[str]]]:
         """(box, score, reasons) by first row and column.  Modes: ``balanced``, or ``border`` for bordered tables alone."""
         found: dict[tuple, tuple] = {}
+        boxes: list[tuple] = []  # of found, sorted
 
         def add(got):
             if got and got[0] not in found:
                 found[got[0]] = got
+                insort(boxes, got[0])
 
         for g in self.components([p for p, x in self.cells.items() if x.bordered], mode == "border"):
             add(self.candidate(g, True))
         if mode != "border":
             for g in self.components([p for p, x in self.cells.items() if x.bordered or x.text]):
                 box = bounds(g)
-                inside = [area(b) for b in found if within(b, box)]
-                if any(a >= area(box) * 0.4 for a in inside) or len(inside) >= 2 and sum(inside) >= area(box) * 0.6:
-                    continue
-                add(self.candidate(g, False))
+                if not filled_up(box, inside(boxes, box)):
+                    add(self.candidate(g, False))
         return sorted(pruned(list(found.values())), key=lambda t: t[0][:2])
 
 
@@ -216,14 +229,21 @@ def within(inner, outer) -> bool:
     return inner[0] >= outer[0] and inner[1] >= outer[1] and inner[2] <= outer[2] and inner[3] <= outer[3]
 
 
+def inside(boxes: list[tuple], outer: tuple) -> list[tuple]:
+    """Those of the sorted boxes that lie in a box."""
+    return [b for b in boxes[bisect_left(boxes, outer[:1]) : bisect_left(boxes, (outer[2] + 1,))] if within(b, outer)]
+
+
+def filled_up(box: tuple, smaller: list[tuple]) -> bool:
+    """Whether one box takes 40 % of another's area, or several 60 % together."""
+    areas = [area(b) for b in smaller]
+    return any(a >= area(box) * 0.4 for a in areas) or len(areas) >= 2 and sum(areas) >= area(box) * 0.6
+
+
 def pruned(found: list[tuple]) -> list[tuple]:
-    """Without candidates that hold a smaller one of 40 % of their area, or several of 60 % together."""
-    out = []
-    for t in found:
-        smaller = [area(o[0]) for o in found if o is not t and within(o[0], t[0]) and area(o[0]) < area(t[0])]
-        if not any(a >= area(t[0]) * 0.4 for a in smaller) and not (len(smaller) >= 2 and sum(smaller) >= area(t[0]) * 0.6):
-            out.append(t)
-    return out
+    """Without the candidates that smaller ones inside fill up."""
+    boxes = sorted(t[0] for t in found)
+    return [t for t in found if not filled_up(t[0], [b for b in inside(boxes, t[0]) if area(b) < area(t[0])])]
 
 
 TABLES = "workbook string, sheet_index int, start_row int, start_col int, end_row int, end_col int, score int, reasons array<string>"

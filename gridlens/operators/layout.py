@@ -1,15 +1,17 @@
 """Reading order: row segments, narrative blocks, sections, numbering.
 
 Segments and sections are gaps and islands over windows.  Narrative blocks compare with the first segment of the open
-block, which no lag can see: an ordered array of a sheet's segments is folded by Catalyst's ``aggregate``.
+block, which no lag can see: a sheet's segments stream in order through one task, which numbers the blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import markdown
 from .grid import SHEET
@@ -40,17 +42,24 @@ def narrative_blocks(segments: DataFrame, keys: Iterable[str] = SHEET, row_gap:
     """Blocks of segments in reading order: a new one after a row gap, or where a segment begins more than ``indent``
     columns from the block's first.  One row a block: *keys, block, start_row, start_col, end_row, end_col, items."""
     keys = list(keys)
-    item = F.struct(F.col("row").cast("int").alias("row"), F.col("start_col").cast("int").alias("col"), "text", "values")
-    listed = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(-100).alias("last_row"), F.lit(0).alias("start_col"), F.lit(0).alias("block"), F.array().cast(f"array<struct<block:int,item:{ITEM}>>").alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["block"] == 0) | (x["row"] - s["last_row"] > row_gap) | (F.abs(x["col"] - s["start_col"]) > indent)
-        block = F.when(new, s["block"] + 1).otherwise(s["block"])
-        done = F.concat(s["done"], F.array(F.struct(block.alias("block"), x.alias("item"))))
-        return F.struct(x["row"].alias("last_row"), F.when(new, x["col"]).otherwise(s["start_col"]).alias("start_col"), block.alias("block"), done.alias("done"))
-
-    told = listed.select(*keys, F.explode(F.aggregate("items", start, step, lambda s: s["done"])).alias("p")).select(*keys, "p.block", "p.item")
+    rows = segments.select(*keys, F.col("row").cast("int").alias("row"), F.col("start_col").cast("int").alias("col"), "text", "values")
+    added = T.StructType([*rows.schema.fields, T.StructField("block", T.IntegerType())])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sheet, block, last, first = None, 0, 0, 0
+        for f in frames:
+            numbers = []
+            for *own, row, col in zip(*[f[k] for k in keys], f["row"], f["col"], strict=True):
+                if own != sheet:
+                    sheet, block, last, first = own, 1, row, col
+                elif row - last > row_gap or abs(col - first) > indent:
+                    block, first = block + 1, col
+                last = row
+                numbers.append(block)
+            yield f.assign(block=numbers)
+
+    told = rows.repartition(*keys).sortWithinPartitions(*keys, "row", "col").mapInPandas(fold, added)
+    told = told.select(*keys, "block", F.struct("row", "col", "text", "values").alias("item"))
     out = told.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return out.select(
         *keys, "block", F.col("items")[0]["row"].alias("start_row"), F.col("items")[0]["col"].alias("start_col"),

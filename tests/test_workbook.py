@@ -84,6 +84,22 @@ def test_formulas(books):
     assert (o["C1"].output_value, o["D1"].output_value, o["D2"].formula, o["E1"].output_value) == ("20", "k10", "=A2&B2", "8")
 
 
+def test_empty_cached_values_that_are_read(spark, tmp_path):
+    """Such a formula is evaluated; one that nothing reads stays empty.  Books of one name in two folders stay apart."""
+    for folder, n in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        cells = [formula("A1", f"{n}+1", ""), formula("A2", "A1*10"), formula("A3", "5+5", ""), formula("B1", "B2+1"), formula("B2", "B1+1")]
+        (tmp_path / folder / "book.xlsx").write_bytes(package({"S": sheet(cells)}))
+    books = read(spark, f"file://{tmp_path}")
+    rows = {(r.workbook.split("/")[-2], r.address): (r.output_value, r.resolution_source) for r in books.cells.collect()}
+    assert len(rows) == 10
+    for folder, n in (("a", 1), ("b", 2)):
+        got = [rows[folder, a] for a in ("A1", "A2", "A3", "B1", "B2")]
+        assert got == [(str(n + 1), "ast_evaluator"), (f"{n + 1}0", "ast_evaluator"), ("", "cached_value"), ("3", "ast_evaluator"), ("2", "ast_evaluator")]
+    made = sheet_markdown(books).select("file_name", "markdown").collect()
+    assert len(made) == 2 and all(r.file_name == "book_001_S.md" and r.markdown.startswith("# Book: book.xlsx\n") for r in made)
+
+
 def test_assets(books):
     assert [(r.anchor, r.path, bytes(r.data)) for r in books.images.collect()] == [("G1", "assets/My Sheet/image_001.png", b"\x89PNG")]
     chart = books.charts.first()
@@ -179,5 +195,14 @@ def test_package_bounds(monkeypatch):
     monkeypatch.setattr(pkg, "MOST_PARTS", 2)
     with pytest.raises(pkg.PackageError):
         pkg.unzip(data)
+    monkeypatch.setattr(pkg, "MOST_PARTS", 100)
+    bomb = bytearray(package({"S": sheet([text("A1", "x" * 100_000)])}))
+    monkeypatch.setattr(pkg, "MOST_BYTES", 50_000)
+    at = 0
+    while (at := bomb.find(b"PK\x01\x02", at)) >= 0:  # the directory says that all parts are small
+        bomb[at + 24 : at + 28] = (10).to_bytes(4, "little")
+        at += 4
+    with pytest.raises(pkg.PackageError):
+        pkg.unzip(bytes(bomb))
     assert pkg.join_path("xl/worksheets/sheet1.xml", "../media/./a.png") == "xl/media/a.png" and pkg.join_path("xl/a.xml", "/xl/b.xml") == "xl/b.xml"
     assert pkg.raw_tree([{"key": "a@x", "value": "1"}, {"key": "a/b#text", "value": "t"}, {"key": "a@x", "value": "2"}]) == ["- `a@x`: `2`", "- `a`", "    - `b#text`: `t`"]
