@@ -1,12 +1,14 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and the difference of the compressed sizes.
 
-Text is compressed in blocks of ``BLOCK`` bytes with either dictionary and with none, every block of the whole text.  The
-difference of the first two sums over their total, and the logarithm of the third over the length (repetition, which both
-dictionaries hide), go into a logistic curve fitted on labelled rows that the dictionaries have not seen, moved to the
-share of good rows among all labelled ones: the score.
-
-How it scales: fitting takes at most ``PER_CLASS`` labelled rows of each class and ``ROW_CHARS`` characters of a row (by
-hash of doc_id, so a bigger corpus gives as many), in blocks from all over its text; scoring is a map.
+Text is compressed in blocks of ``BLOCK`` bytes with either dictionary, every block of the whole text.  The difference of
+the two sums, normalised by the text's length and the sums themselves, goes into a logistic curve fitted on labelled rows
+that the dictionaries have not seen, moved to the share of good rows among all labelled ones: the score.  (Over the sums
+alone, text that repeats itself, which both compress to nothing, differs as much as any; over the length alone, short text
+counts less.  Low levels index too little of a dictionary for blocks of this size.)
+
+How it scales: fitting takes at most ``PER_CLASS`` labelled rows of each class (by hash of doc_id, so a bigger corpus gives as
+many) with their whole texts, in a table of their own.  Blocks from all over them are collected up to the size of the
+dictionaries, then one number of each row for the curve.  Scoring is a map.
 """
 
 from __future__ import annotations
@@ -14,18 +16,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, packed, unpacked
+from .common import Scratch, map_text, packed, unpacked
 
 PER_CLASS = 1_500
-ROW_CHARS = 20_000
-BLOCK = 1_024
-DICTIONARY = 1 << 20
-LEVEL = 3
+BLOCK = 512
+PIECE = 1_024  # characters of a text that go into a dictionary together
+DICTIONARY = 2 << 20
+LEVEL = 7
+CURVE = 3  # a third of the labelled rows is for the curve
 
 
 def held_out(doc_id: Column) -> Column:
@@ -33,26 +35,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, chars: int = ROW_CHARS, spread: bool = False) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class rows a class that are not held out, in order of a hash of doc_id.
-
-    Of a text of more than ``chars`` characters the first ones, or if ``spread`` blocks from all over it by hash, in order."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, curve: int, per_class: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, y, text, curve): whole texts of at most per_class rows a class that are not held out, chosen by a hash of doc_id,
+    in a table of their own.  curve: one in so many rows, for the curve and not for the model."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    few = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    few = [known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     few = F.broadcast(few[0].union(few[1]))  # at most 2 * per_class rows
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (spread_blocks(chars) if spread else F.substring("text", 1, chars)).alias("text")).where("text is not null and doc_id is not null")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
     # rows of one doc_id count once, so repeated rows cannot break the bound
     rows = text.join(few, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return [(r.text, r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").collect()]
-
-
-def spread_blocks(chars: int) -> Column:
-    """``text``, or of a longer one about ``chars`` characters in whole blocks that a hash of doc_id and block chooses."""
-    n = F.ceil(F.length("text") / BLOCK).cast("int")
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k"))))
-    chosen = F.array_sort(F.transform(F.slice(order, 1, chars // BLOCK), lambda x: x["k"]))
-    parts = F.transform(chosen, lambda k: F.col("text").substr(k * BLOCK + 1, F.lit(BLOCK)))
-    return F.when(F.length("text") <= chars, F.col("text").cast("string")).otherwise(F.array_join(parts, ""))
+    return scratch.table(rows.withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(curve)) == 0), "labelled")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -70,43 +62,18 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
 
 
 class QualityModel:
-    """Two dictionaries and a curve.  Without rows of both classes every score is the share of good rows (0.5 without any)."""
-
-    def __init__(self, rows: list[tuple[str, int]], share: float | None = None):
-        self.share = (sum(y for _, y in rows) + 1) / (len(rows) + 2) if share is None else share
-        # dictionaries from two thirds, the curve from the rest
-        fit, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-        by = {y: [t for t, z in fit if z == y and t] for y in (0, 1)}
-        self.raw: dict[int, bytes] | None = None
-        if min(len(by[0]), len(by[1])) >= 8 and len({y for _, y in rest}) == 2:
-            self.raw = {y: self._dictionary(by[y]) for y in (0, 1)}
+    """Two dictionaries and a curve.  Without them every score is the share of good rows."""
+
+    def __init__(self, share: float, raw: dict[int, bytes] | None = None):
+        self.share, self.raw, self.curve = share, raw, None
+        if raw is not None:
             self._open()
-            x, y = np.array([self.measures(t) for t, _ in rest]), np.array([y for _, y in rest], float)
-            self.middle, self.spread = x.mean(0), x.std(0) + 1e-9
-            self.curve = logistic(self._terms(x), y)
-            # the sample has about as many of either class; the curve is moved to the share among all labelled rows
-            self.curve[0] += log_odds(self.share) - log_odds(y.mean())
-
-    def _terms(self, x: np.ndarray) -> np.ndarray:
-        z = (np.atleast_2d(x) - self.middle) / self.spread
-        return np.column_stack([z, z[:, 1] ** 2])
-
-    @staticmethod
-    def _dictionary(texts: list[str]) -> bytes:
-        """Plain content: a block of each text, then a second one of each, and so on until it is full; a hash of text and
-        block chooses them from all over the text.  (The library's own trainer gives dictionaries of a few hundred bytes to
-        all that it may, by chance of the sample.)"""
-        places = []
-        for i, t in enumerate(texts):
-            order = sorted(range(-(-len(t) // BLOCK)), key=lambda k: xxhash.xxh64_intdigest(f"{i} {k}"))  # noqa: B023
-            places += [(turn, i, k) for turn, k in enumerate(order)]
-        parts, size = [], 0
-        for _, i, k in sorted(places):
-            if size >= DICTIONARY:
-                break
-            parts.append(texts[i][k * BLOCK : (k + 1) * BLOCK].encode("utf-8", "surrogatepass"))
-            size += len(parts[-1])
-        return b"".join(reversed(parts))[-DICTIONARY:]
+
+    def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.middle, self.spread = float(x.mean()), float(x.std()) + 1e-9
+        self.curve = logistic(((x - self.middle) / self.spread)[:, None], y)
+        # the sample has about as many of either class; the curve is moved to the share among all labelled rows
+        self.curve[0] += log_odds(self.share) - log_odds(float(y.mean()))
 
     def _open(self) -> None:
         self.pack, options = {}, {"level": LEVEL, "write_content_size": False, "write_dict_id": False}
@@ -114,7 +81,6 @@ class QualityModel:
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             self.pack[y] = zstandard.ZstdCompressor(dict_data=d, **options)
-        self.pack[None] = zstandard.ZstdCompressor(**options)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "pack"}
@@ -124,22 +90,20 @@ class QualityModel:
         if self.raw is not None:
             self._open()
 
-    def measures(self, text: str | None) -> tuple[float, float]:
-        """(difference of the compressed sizes over their sum, positive if good text's dictionary serves better; log of the
-        compressed size without a dictionary over the length); (0, 0) without text."""
-        good = bad = plain = size = 0
+    def difference(self, text: str | None) -> float:
+        """Normalised difference of the compressed sizes, positive if good text's dictionary serves better; 0 without text."""
+        good = bad = size = 0
         for b in blocks(text, BLOCK):
             good += len(self.pack[1].compress(b))
             bad += len(self.pack[0].compress(b))
-            plain += len(self.pack[None].compress(b))
             size += len(b)
-        return ((bad - good) / (bad + good), math.log(plain / size)) if size else (0.0, 0.0)
+        return (bad - good) / (size + 2 * (bad + good)) if size else 0.0
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        if self.raw is None or not texts:
+        if self.curve is None or not texts:
             return [self.share] * len(texts)
-        x = self._terms(np.array([self.measures(t) for t in texts]))
-        return (1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))).tolist()
+        x = (np.array([self.difference(t) for t in texts]) - self.middle) / self.spread
+        return (1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * x, -30, 30)))).tolist()
 
 
 def log_odds(p: float) -> float:
@@ -152,8 +116,37 @@ def blocks(text: str | None, size: int) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, len(raw), size)]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    return QualityModel(labelled(docs, labels, "quality", per_class, spread=True), share_of(labels, "quality"))
+def dictionary(rows: DataFrame) -> bytes:
+    """Plain content of ``rows(doc_id, text)``: a block of each text, then a second one of each, and so on until it is full; a hash
+    of doc_id and block chooses them from all over the text.  (The library's own trainer gives dictionaries of a few hundred
+    bytes to all that it may, by chance of the sample.)  At most a dictionary's worth of blocks leaves a text."""
+    most = DICTIONARY // PIECE
+    n = F.ceil(F.char_length("text") / PIECE).cast("int")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k"))))
+    places = rows.where("text <> ''").select("text", F.posexplode(F.slice(order, 1, most)).alias("turn", "at"))
+    found = places.orderBy("turn", "at.h").select(F.substring("text", F.col("at.k") * PIECE + 1, F.lit(PIECE)).alias("block")).limit(2 * most).collect()
+    parts, size = [], 0
+    for r in found:
+        if size < DICTIONARY:
+            parts.append(r.block.encode("utf-8", "surrogatepass"))
+            size += len(parts[-1])
+    return b"".join(reversed(parts))[-DICTIONARY:]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, scratch: Scratch | None = None) -> QualityModel:
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    rows, share = labelled(docs, labels, "quality", CURVE, per_class, scratch), share_of(labels, "quality")
+    fit, rest = rows.where("not curve"), rows.where("curve")
+    counts = {(r.y, r.curve): r.n for r in rows.where("text <> ''").groupBy("y", "curve").agg(F.count("*").alias("n")).collect()}
+    if min(counts.get((y, False), 0) for y in (0, 1)) < 8 or min(counts.get((y, True), 0) for y in (0, 1)) < 1:
+        model = QualityModel(share)
+    else:
+        model = QualityModel(share, {y: dictionary(fit.where(F.col("y") == y)) for y in (0, 1)})
+        told = map_text(rest.select("doc_id", "y", "text"), lambda: lambda texts: [[model.difference(t) for t in texts]], "x double")
+        told = sorted(tuple(r) for r in told.select("doc_id", "y", "x").collect())  # at most 2 * per_class rows of numbers
+        model.fit_curve(np.array([x for *_, x in told]), np.array([y for _, y, _ in told], float))
+    scratch.drop(rows)
+    return model
 
 
 def share_of(labels: DataFrame, label: str) -> float:
@@ -170,7 +163,7 @@ def _scores(model: QualityModel):
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs(doc_id, text)``; other columns are not read.
 
-    Scores depend on the text alone; null and empty texts get the score of measures (0, 0).  Null doc_ids are not held
+    Scores depend on the text alone; null and empty texts get the score of no difference.  Null doc_ids are not held
     out.  Labels that are null or neither 0 nor 1 are ignored; a doc_id labelled both ways counts as two rows.  Without
     labelled rows of both classes all scores are equal.  An empty table gives an empty table.
     """

@@ -86,16 +86,86 @@ def test_keep_good_keeps_rows_whole(tables):
     assert {(r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()} == scored
 
 
-def test_gaps_are_tolerated():
+def fitted(spark, module, rows, label):
+    """The model of a module from (text, label) rows."""
+    ids = [i for i in range(4 * len(rows)) if not held(i)][: len(rows)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows, strict=True)], "doc_id long, text string")
+    return module.fitted(docs, spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows, strict=True)], f"doc_id long, {label} int"))
+
+
+@pytest.mark.parametrize("turned", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひ"])
+def test_gaps_are_tolerated(spark, turned):
+    """In Latin script and in others."""
     rng = random.Random(7)
-    rows = [(insulting(rng, 30), 1) for _ in range(150)] + [(good_text(rng, 30), 0) for _ in range(150)]
+    say = lambda t: t.translate({ord(a): b for a, b in zip("abcdefghijklmnopqrstuvwxyz", turned, strict=True)})
+    rows = [(say(insulting(rng, 30)), 1) for _ in range(150)] + [(say(good_text(rng, 30)), 0) for _ in range(150)]
     rng.shuffle(rows)
-    m = toxicity.ToxicityModel(rows)
-    clean = [m.score(good_text(rng, 30)) for _ in range(50)]
-    gapped = [m.score(good_text(rng, 10) + " " + "_".join("scoundrel") + " " + good_text(rng, 10)) for _ in range(50)]
+    m = fitted(spark, toxicity, rows, "toxic")
+    clean = [m.score(say(good_text(rng, 30))) for _ in range(50)]
+    gapped = [m.score(say(good_text(rng, 10)) + " " + "_".join(say("scoundrel")) + " " + say(good_text(rng, 10))) for _ in range(50)]
     assert np.mean(np.array(gapped) > max(np.percentile(clean, 95), 0.3)) > 0.9
 
 
+def test_toxic_text_counts_wherever_it_stands(spark):
+    """Labelled texts whose only insult lies tens of thousands of characters on: learnt and found."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        t = good_text(rng, rng.randint(4000, 6000))
+        rows.append((t + " " + "blockhead" + " " + good_text(rng, 20) if i % 2 else t, i % 2))
+    m = fitted(spark, toxicity, rows, "toxic")
+    assert m.score(good_text(rng, 8000) + " blockhead " + good_text(rng, 8000)) > 0.5 > m.score(good_text(rng, 16_000))
+
+
+def test_scores_are_those_of_plain_code(spark, tables):
+    """Each row's score against the definition, symbol by symbol and block by block, on whole texts."""
+    import zstandard
+
+    docs, labels = tables
+    m = toxicity.fitted(docs, labels)
+
+    def decision(text):
+        s = toxicity.symbols(text).tolist()
+        at = []
+        for i in range(len(s) - 2 * toxicity.P):
+            total = 0.0
+            for skip, weight in zip(toxicity.SKIPS, toxicity.WEIGHTS, strict=True):
+                code = 0
+                for k in skip:
+                    code = code * toxicity.SYMBOLS + s[i + k]
+                total += weight * float(m.table[code])
+            at.append(total)
+        width = min(toxicity.WIDTH, len(at))
+        return max(sum(at[i : i + width]) for i in range(len(at) - width + 1)) + m.bias
+
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None and len(r.text or "") < 2000}
+    a, b = m.curve
+    for r in toxicity.toxicity_scores(docs, labels).where("doc_id % 9 = 0 or doc_id >= 2000").collect():
+        if r.doc_id in texts:
+            assert abs(r.score - 1 / (1 + np.exp(-(a + b * (decision(texts[r.doc_id]) - m.middle) / m.scale)))) < 1e-4
+    q = quality.fitted(docs, labels)
+    for r in quality.quality_scores(docs, labels).collect():
+        if r.doc_id in texts:
+            raw, sums = (texts[r.doc_id] or "").encode(), {}
+            for y in (0, 1):
+                pack = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(q.raw[y]), write_content_size=False, write_dict_id=False)
+                sums[y] = sum(len(pack.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK))
+            x = (sums[0] - sums[1]) / (len(raw) + 2 * sum(sums.values())) if raw else 0.0
+            # a prepared dictionary may cut the sequences otherwise than one that is loaded
+            assert abs(r.score - 1 / (1 + np.exp(-(q.curve[0] + q.curve[1] * (x - q.middle) / q.spread)))) < 0.05
+
+
+@pytest.mark.parametrize(("scores", "label"), [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
+def test_scores_are_calibrated(spark, tables, scores, label):
+    """On rows that are held out the mean score is near the share of ones, and so it is above and below 0.5."""
+    docs, labels = tables
+    rows = scores(docs, labels).where("held_out").join(labels.where(f"{label} in (0, 1)"), "doc_id").select("score", label).collect()
+    s, y = np.array([r.score for r in rows]), np.array([r[label] for r in rows])
+    assert len(y) > 100 and abs(s.mean() - y.mean()) < 0.05 and np.mean((s - y) ** 2) < 0.05
+    for part in (s >= 0.5, s < 0.5):
+        assert abs(s[part].mean() - y[part].mean()) < 0.1
+
+
 def test_table_is_the_kernel_machine():
     """The tabulated decision is that of the Nystroem features."""
     rng = random.Random(3)
@@ -116,12 +186,26 @@ def test_table_is_the_kernel_machine():
 
 def test_dictionaries_hold_more_than_openings(spark):
     rng = random.Random(8)
-    opening = "all rights reserved " * 52  # a block that all texts share
-    texts = [opening[: quality.BLOCK] + "".join(rng.choices("abcdefgh ", k=2 * quality.BLOCK)) for _ in range(1100)]
-    assert quality.QualityModel._dictionary(texts).count(opening[: quality.BLOCK].encode()) < 500
-    # of a longer text blocks from all over it
-    whole = "".join(f"{k:05d}" for k in range(20_000))
-    docs = spark.createDataFrame([(1, whole)], "doc_id long, text string")
-    ((text, _),) = quality.labelled(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), "quality", spread=True)
-    assert len(text) <= quality.ROW_CHARS
-    assert any(whole.find(text[k : k + quality.BLOCK]) >= quality.ROW_CHARS for k in range(0, len(text), quality.BLOCK))
+    opening = ("all rights reserved " * 52)[: quality.PIECE]  # a piece that all texts share
+    texts = [opening + "".join(rng.choices("abcdefgh ", k=3 * quality.PIECE)) for _ in range(1100)]
+    made = quality.dictionary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(made) == quality.DICTIONARY and made.count(opening.encode()) < 800
+    # of a longer text pieces from all over it, and never more than there are
+    whole = "".join(f"{k:05d}" for k in range(700_000))
+    (docs,) = [spark.createDataFrame([(1, whole), (2, ""), (3, "é")], "doc_id long, text string")]
+    made = quality.dictionary(docs).decode()
+    places = {whole.find(made[k : k + quality.PIECE]) // 500_000 for k in range(0, len(made) - quality.PIECE, quality.PIECE)}
+    assert len(places - {-1}) >= 6
+    assert quality.dictionary(docs.limit(0)) == b""
+
+
+def test_labelled_rows_are_whole_and_bounded(spark):
+    from gridlens.llm.common import Scratch
+
+    long = "word " * 100_000
+    docs = spark.createDataFrame([(i, long if i == 4 else f"text {i}") for i in range(200)] + [(4, long), (None, "x"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(4, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality.labelled(docs, labels, "quality", 3, 1000, Scratch(spark, "t")).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == sum(not held(i) for i in range(200))
+    assert {r.text for r in rows if r.doc_id == 4} == {long} and 0 < sum(r.curve for r in rows) < len(rows) / 2
+    assert quality.labelled(docs, labels, "quality", 3, 10, Scratch(spark, "t")).count() == 20
