@@ -16,10 +16,13 @@ _own_folder: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local temporary one only where that is unset and all executors are on
+    this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="gridlens-")
@@ -78,7 +81,7 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node long, component long: smallest node reachable) for every node of ``edges(a long, b long)``.
 
     Alternating large-star and small-star (Kiveris et al. 2014) with minima and equi-joins only: no adjacency list is
@@ -90,7 +93,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
-    for _ in range(max_rounds):
+    while True:  # each round that changes the edges brings them nearer to stars; the squared logarithm of the nodes bounds them
         # large star: every larger neighbour of u, and u, point to the least node around u
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
@@ -105,8 +108,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         now = after
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("b", "b"))
 

@@ -12,13 +12,15 @@ chain, and only those get the full check.  ``similarity``: the key is two adjace
 for, which would lose pairs, and all pairs in a bucket whose groups are not linked yet go to the similarity itself.
 
 How it scales: copies collapse to one fingerprint first, by partial aggregation.  A bucket gives a spanning forest of its
-links, never its pairs.  Buckets above ``CAP`` (``CROWD`` for similarities) go another exact way: for Hamming distances up to 2 through the
-fingerprints one bit away, which two such neighbours share (65 rows a fingerprint, no pairs); for similarities tight
-groups are linked through longer chains, and what then hangs apart is compared in blocks.  Components come from :func:`common.connected_components`.
+links, never its pairs.  Buckets above ``CAP`` (``CROWD`` for similarities) go another exact way: for Hamming distances up to 2
+through the fingerprints one bit away, which two such neighbours share (65 rows a fingerprint, no pairs), beyond in blocks;
+for similarities tight groups are linked through longer chains and pivots, and what then hangs apart is compared by bands of
+sizes, in blocks.  Components come from :func:`common.connected_components`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,9 +180,12 @@ def _hamming_links(prints: DataFrame, most: int, scratch: Scratch, cap: int, seg
         return hit
 
     found = _links(sized.where(F.col("n") <= cap).select("bucket", "node", F.col("node").alias("label"), F.col("node").alias("value"), "start"), near, ["value", "start"])
+    if most > 2:  # no such variants: crowded buckets are compared in blocks, every two of them a bucket of their own
+        blocks = F.ceil(2 * F.col("n") / cap)
+        dense = sized.where(F.col("n") > cap).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dense = dense.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "node", F.col("node").alias("label"), F.col("node").alias("value"), "start")
+        return found.union(_links(dense, near, ["value", "start"]))
     crowded = sized.where(F.col("n") > cap).select("node").distinct()
-    if most > 2:
-        raise ValueError("crowded buckets have an exact way for up to 2 bits only")
     if most < 2:  # fingerprints one bit apart: one is a variant of the other
         flips = [F.col("node").bitwiseXOR(F.lit(signed(1 << b))) for b in range(64)] if most else []
         other = crowded.select("node", F.explode(F.array(F.col("node"), *flips)).alias("at"))
@@ -309,7 +314,7 @@ def _chain_keys(columns: DataFrame, patterns: list[tuple[int, ...]]) -> DataFram
     segment = lambda i, s: F.element_at("segs", (i + s) % CELLS + 1)
     key = lambda i, p: F.xxhash64(i, p, F.transform(p, lambda s: segment(i, s)))
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(chosen, lambda p: key(i, p))))
-    return columns.select("node", F.posexplode(keys).alias("at", "bucket")).select("node", "bucket", F.expr(f"cast(at div {len(patterns)} as int)").alias("start"))
+    return columns.select("node", "size", F.posexplode(keys).alias("at", "bucket")).select("node", "size", "bucket", F.expr(f"cast(at div {len(patterns)} as int)").alias("start"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -348,21 +353,33 @@ def _open(told: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return _each_bucket(told.join(nodes.select("node", "segs", "sketch"), "node"), work, ["bucket", "node", "label"])
 
 
-def _parted(told: DataFrame, cap: int) -> DataFrame:
-    """(bucket, start, node, label) of the buckets in which labels meet; those above ``cap`` in blocks.
+def _parted(told: DataFrame, cap: int, least: float) -> DataFrame:
+    """(bucket, start, node, label) of the buckets of ``told(bucket, start, n, node, size, label)`` in which labels meet; those above
+    ``cap`` in parts.
 
-    A crowded bucket's largest label has blocks of its own, which need not meet each other: with few others beside a large
-    group the rows grow with its size and not with its square."""
-    labels = told.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
-    labels = labels.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("n_main"), F.count("*").alias("labels")).where("labels > 1")
-    rows = told.join(labels, "bucket")
+    Sets of a similarity of ``least`` have sizes within that ratio, so a crowded bucket falls into bands of sizes, each row in
+    its own and the next one.  Bands that still are crowded go in blocks: a band's largest label has blocks of its own, which
+    need not meet each other, so with few others beside a large group the rows grow with its size and not with its square."""
+    names = ["bucket", "start", "node", "label"]
+    rows = _mixed(told)
+    small = rows.where(F.col("n") <= cap).select(names)
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1 / (least * (1 - 1e-6))))
+    rows = rows.where(F.col("n") > cap).withColumn("band", F.explode(F.array(band, band + 1))).withColumn("bucket", F.xxhash64("bucket", "band"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    rows = _mixed(rows.select(*names).join(sizes, "bucket"))
     main, n_main, n_rest = F.col("label") == F.col("main"), F.ceil(2 * F.col("n_main") / cap), F.ceil(2 * (F.col("n") - F.col("n_main")) / cap)
     deal = lambda n: F.pmod(F.xxhash64("node", "bucket"), n)
     dense = rows.where(F.col("n") > cap).withColumn("block", F.when(main, deal(n_main)).otherwise(n_main + deal(n_rest)))
     dense = dense.withColumn("other", F.explode(F.sequence(F.when(main, n_main).otherwise(F.lit(0).cast("long")), n_main + n_rest - 1)))
     dense = dense.withColumn("bucket", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
-    names = ["bucket", "start", "node", "label"]
-    return rows.where(F.col("n") <= cap).select(names).union(dense.select(names))
+    return small.union(rows.where(F.col("n") <= cap).select(names)).union(dense.select(names))
+
+
+def _mixed(told: DataFrame) -> DataFrame:
+    """``told(bucket, label, ...)`` of the buckets with two labels or more, with the largest (``main``, ``n_main`` rows)."""
+    labels = told.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
+    labels = labels.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("n_main"), F.count("*").alias("labels")).where("labels > 1")
+    return told.join(labels, "bucket")
 
 
 def _within(asked: DataFrame) -> DataFrame:
@@ -378,7 +395,7 @@ def _stacked(sketch: np.ndarray) -> np.ndarray:
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, tie (xxhash64 of the text), component (long) and first (boolean) for each distinct doc_id and text.
+    """doc_id, tie (xxhash64 of the text), component (long), copies (rows) and first (boolean) for each distinct doc_id and text.
 
     Classes are connected components of pairs whose sets of word shingles have a Jaccard similarity of at least
     ``similarity``.  512 one-shingle samples decide where their estimate is over five standard errors away from it, the
@@ -399,11 +416,12 @@ def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     # of a chain's first 4, 6 and 8 segments at most 1, 2 and 3 differ: five of the eight are equal, in one of 14 ways
     more = _sized(_chain_keys(crowd, [(0, 1, *rest) for rest in _triples()]), scratch)
     few = few.union(more.where(F.col("n") <= cap).select("bucket", "node"))
-    # what is still crowded is compared in blocks: every two blocks are a bucket of their own
+    # what is still crowded is dealt into blocks, and the first block of each bucket meets all of them: a tight group is linked
+    # through it by rows in proportion to its size.  What then hangs apart is left to the sets below, which lose nothing
     blocks = F.ceil(2 * F.col("n") / cap).cast("int")
     dense = more.where(F.col("n") > cap).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int"))
-    dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dense = dense.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "node")
+    dense = dense.withColumn("other", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("block"))))
+    dense = dense.select(F.xxhash64("bucket", "other").alias("bucket"), "node")
     work = scratch.table(few.union(dense), "work")
 
     def near(sketch, sets=None):
@@ -420,29 +438,33 @@ def similarity_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     sure = scratch.table(early.union(late), "sure")
     classes = connected_components(sure, scratch)
     # what the estimate leaves open, in the first buckets again: the sets decide
-    told_all = scratch.table(sized.join(classes, "node", "left").select("bucket", "start", "n", "node", F.coalesce("component", "node").alias("label")), "told")
-    asked = scratch.table(_open(_parted(told_all, cap), nodes, similarity), "asked")
+    told_all = scratch.table(sized.join(classes, "node", "left").select("bucket", "start", "n", "node", "size", F.coalesce("component", "node").alias("label")), "told")
+    asked = scratch.table(_open(_parted(told_all, cap, similarity), nodes, similarity), "asked")
     known = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "from.doc_id", "from.tie")
     sets = scratch.table(_sets(docs, known, width), "sets")
     exact = scratch.table(_links(_within(asked.join(nodes.select("node", "size", "sketch"), "node")).join(sets, "node"), near, ["sketch", "hashes"]), "exact")
     classes = connected_components(sure.union(exact), scratch)
-    seen = rows.groupBy("doc_id", "tie").agg(F.first("node").alias("node"))
-    seen = seen.join(classes, "node", "left").select("doc_id", "tie", F.coalesce("component", "node").alias("component"))
+    seen = rows.groupBy("doc_id", "tie").agg(F.first("node").alias("node"), F.count("*").alias("copies"))
+    seen = seen.join(classes, "node", "left").select("doc_id", "tie", "copies", F.coalesce("component", "node").alias("component"))
     seen = scratch.table(seen, "seen")
     scratch.drop(sized, more, work, told, told_all, asked, sets, early, sure, exact, nodes, sketches)
     # the row to keep by partial aggregation: a class may hold a third of all rows
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tie"))
     least = scratch.table(seen.groupBy("component").agg(F.min(key).alias("keep")), "least")
-    return seen.join(least, "component").select("doc_id", "tie", "component", key.eqNullSafe(F.col("keep")).alias("first"))
+    return seen.join(least, "component").select("doc_id", "tie", "component", "copies", key.eqNullSafe(F.col("keep")).alias("first"))
 
 
 def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, cap: int = CROWD) -> DataFrame:
     """The rows of ``docs`` that stay when each class of :func:`similarity_classes` keeps one document, with all columns
-    of ``docs`` whatever their names.  Of rows equal in doc_id and text one stays (any of them)."""
-    first = similarity_classes(docs, width, similarity, cap).where("first").select(F.col("doc_id").alias("keep_id"), F.col("tie").alias("keep_tie"))
-    rows = packed(docs, "doc_id", "text").withColumn("in_tie", F.xxhash64("in_text"))
+    of ``docs`` whatever their names.  Of rows equal in doc_id and text one stays (any of them).  Nulls, empty texts and an
+    empty table as there.
+
+    Whole rows move once, to meet the keys that stay; only those of keys with several rows move again."""
+    first = similarity_classes(docs, width, similarity, cap).where("first").select(F.col("doc_id").alias("keep_id"), F.col("tie").alias("keep_tie"), "copies")
+    rows = packed(docs, "doc_id", "text").withColumn("in_tie", F.xxhash64("in_text")).drop("in_text")
     rows = rows.join(first, F.col("in_doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("in_tie") == F.col("keep_tie")))
-    return unpacked(rows.groupBy("keep_id", "keep_tie").agg(F.first("row").alias("row")))
+    several = rows.where("copies > 1").groupBy("keep_id", "keep_tie").agg(F.first("row").alias("row"))
+    return unpacked(rows.where("copies = 1").select("row").union(several.select("row")))
 
 
 def _triples() -> list[tuple[int, ...]]:

@@ -24,7 +24,7 @@ def key(r):
 
 
 @pytest.mark.parametrize("cap", [simhash.CAP, 2])
-@pytest.mark.parametrize("most", [0, 1, 2])
+@pytest.mark.parametrize("most", [0, 1, 2, 5])
 def test_classes_equal_brute_force(spark, odd_rows, cap, most):
     rows = [r[:2] for r in odd_rows] + [(1000 + i, t) for i, t in enumerate(near_texts(random.Random(1)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -64,19 +64,40 @@ def test_clashing_columns_and_empty_table(clashing_docs, odd_rows, no_docs):
 
 
 def test_similar_documents_keep_one(spark):
-    rng = random.Random(2)
-    texts = near_texts(rng, 60)
+    """At 0.8 itself, whatever the size of the buckets."""
+    texts = near_texts(random.Random(2), 60)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     pairs = brute.similar_pairs(list(enumerate(texts)), 5)
-    sure = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.84])
-    loose = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.76])
+    want = brute.components(list(range(len(texts))), [(a, b) for a, b, j in pairs if j >= 0.8])
+    assert any(0.8 <= j < 0.85 for *_, j in pairs) and any(0.75 < j < 0.8 for *_, j in pairs)
     for cap in (simhash.CROWD, 3):
-        kept = {r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()}
-        for d in range(len(texts)):
-            if d != sure[d]:
-                assert d not in kept  # linked to a smaller one for certain
-            if loose[d] == d:
-                assert d in kept  # the least of all that it could be linked to
+        assert sorted(r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()) == [i for i in want if want[i] == i]
+
+
+def test_sizes_at_the_ratio_meet_in_a_band(spark):
+    """Sets within one another whose sizes are just in the ratio of the limit."""
+    rng, texts = random.Random(4), []
+    for n in (8, 12, 40, 100, 200, 400):
+        words = [f"v{rng.getrandbits(40)}" for _ in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[: n * 4 // 5 + 4])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.components(list(range(len(texts))), [(a, b) for a, b, j in brute.similar_pairs(list(enumerate(texts)), 5) if j >= 0.8])
+    for cap in (simhash.CROWD, 1):
+        assert sorted(r.doc_id for r in simhash.drop_similar(docs, cap=cap).collect()) == [i for i in want if want[i] == i]
+
+
+def test_recall_by_similarity_on_the_test_table(spark, sf_dir):
+    """All pairs of the table by brute force: every pair at 0.8 or more is in one class, none is joined that no chain of such
+    pairs joins."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    pairs = brute.similar_pairs(rows, 5)
+    want = brute.components(list(range(len(rows))), [(a, b) for a, b, j in pairs if j >= 0.8])
+    empty = [i for i, (_, t) in enumerate(rows) if not (t or "").split()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.similarity_classes(docs).collect()}
+    label = [got[d] for d, _ in rows]
+    assert all(label[a] == label[b] for a, b, j in pairs if j >= 0.8)
+    assert len(set(label)) == len({want[i] for i in range(len(rows)) if i not in empty}) + bool(empty)
 
 
 def test_drop_similar_keeps_columns_and_odd_rows(clashing_docs, odd_rows):
