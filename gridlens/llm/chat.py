@@ -5,7 +5,8 @@ character that texts carry only escaped, so the output can be read back exactly
 
 How it scales: the state after a turn is its role, so a turn needs only its predecessor.  A conversation of more than
 ``CHUNK`` turns is cut at quantiles of ``turn`` (mergeable sketches, no sort), windows run inside (conversation, chunk),
-and each chunk takes its entry state and offsets from sums over chunks.
+and each chunk takes its entry state and offsets from sums over chunks.  Turns that are equal or null stay in one chunk.
+A digest of a conversation (:func:`read_back`) takes its bytes in order, in one task, streaming.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 100_000
+CUTS = 1_024
 START, OTHER = "<start>", "<other>"
 
 
@@ -75,11 +77,11 @@ def format_turns(turns: DataFrame, template: Template = DEFAULT, chunk: int = CH
     machine goes on from the turn's role.  Null conv_ids form one conversation.  An empty table gives an empty table.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    # cuts only for conversations longer than a chunk: at most rows / chunk of them
-    n = F.count("*")
-    cuts = t.groupBy("conv_id").agg(n.alias("n"), F.percentile_approx("turn", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    cuts = cuts.select("conv_id", F.when(F.col("n") > chunk, F.array_distinct("cuts")).alias("cuts"))
-    t = t.join(cuts.withColumnRenamed("conv_id", "cut_id"), F.col("conv_id").eqNullSafe(F.col("cut_id")), "left").drop("cut_id")
+    # cuts only for conversations longer than a chunk, at most rows / chunk of them; up to CUTS chunks each, then longer ones
+    large = t.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(F.col("conv_id").alias("large_id"))
+    cuts = t.select("conv_id", "turn").join(large, F.col("conv_id").eqNullSafe(F.col("large_id")), "left_semi")
+    cuts = cuts.groupBy(F.col("conv_id").alias("cut_id")).agg(F.array_distinct(F.percentile_approx("turn", [i / CUTS for i in range(1, CUTS)], 20 * CUTS)).alias("cuts"))
+    t = t.join(cuts, F.col("conv_id").eqNullSafe(F.col("cut_id")), "left").drop("cut_id")
     t = t.withColumn("chunk", F.when(F.col("cuts").isNull() | F.col("turn").isNull(), F.lit(-1)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("turn"))))).drop("cuts")
     learn = F.coalesce(F.col("role").isin(*template.loss), F.lit(False))
     t = t.withColumn("segments", F.array(

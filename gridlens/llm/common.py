@@ -120,6 +120,13 @@ def _digest(edges: DataFrame) -> tuple:
     return r.n, r.h, r.g
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has Spark's own default: too much at once for a small executor."""
+    small = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(small) == "67108864b":
+        spark.conf.set(small, "8m")
+
+
 def map_text(df: DataFrame, start: Callable, added: str, chars: int = 2_000_000, inside: str | None = None, arrow_texts: bool = False, given: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with column ``text`` replaced by the columns of the DDL ``added``.
 
@@ -136,9 +143,7 @@ def map_text(df: DataFrame, start: Callable, added: str, chars: int = 2_000_000,
     new = T.StructType.fromDDL(added)
     schema = T.StructType([*keep, *new.fields])
     arrow = to_arrow_schema(schema)
-    conf, small = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(small) == "67108864b":  # Spark's own default: too much text at once for a small executor
-        conf.set(small, "8m")
+    small_batches(df.sparkSession)
     names, types = [f.name for f in keep], [f.type for f in to_arrow_schema(new)]
 
     def run(batches):

@@ -5,8 +5,9 @@ leading axes and sorted by label and cell.  The sequence is cut into blocks of `
 join starts from whole sequences and splits them level by level: a pair of intervals whose boxes are farther apart than
 epsilon is dropped, the others split ``FAN``-fold, down to blocks, whose vectors are compared.
 
-How it scales: equal vectors collapse to one with a weight first.  Block pairs give link counts and spanning forests, not
-pairs of vectors, so a large group of copies adds no rows.  The rotation is fitted on ``SAMPLE`` vectors; it serves
+How it scales: equal vectors collapse to one with a weight first.  A task takes a block and streams the blocks that it may meet
+past it, in the width that the input has.  Block pairs give link counts and spanning forests, not pairs of vectors, so a
+large group of copies adds no rows.  Vectors of each length are a join of their own, one after another.  The rotation is fitted on ``SAMPLE`` vectors; it serves
 pruning alone, results do not depend on it.
 """
 
@@ -19,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, small_batches
 
 BLOCK = 512
 FAN = 8
@@ -52,6 +54,8 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, block: int = BLOCK,
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "vectors")
+    kind = vectors.schema["embedding"].dataType
+    width = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"  # as exact as the input
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.coalesce(F.col("label").isNotNull() & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -66,7 +70,7 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, block: int = BLOCK,
     links = []
     for dims in [r.dims for r in reps.select("dims").distinct().collect()]:
         part = reps.where(F.col("dims") == dims)
-        links.append(_join(part, dims, least, block, scratch))
+        links.append(_join(part, dims, least, block, width, scratch))
     if links:
         found = links[0]
         for x in links[1:]:
@@ -85,7 +89,7 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, block: int = BLOCK,
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _join(reps: DataFrame, dims: int, least: float, block: int, scratch: Scratch) -> DataFrame:
+def _join(reps: DataFrame, dims: int, least: float, block: int, width: str, scratch: Scratch) -> DataFrame:
     """(a, null, links): weighted links of a node; (a, b, null): edges that connect what is linked."""
     sample = reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").collect()
     turn = _rotation([r.embedding for r in sample], dims)
@@ -110,7 +114,7 @@ def _join(reps: DataFrame, dims: int, least: float, block: int, scratch: Scratch
         def closed(f):
             raw = np.stack(f["embedding"].to_numpy())
             y = _unit(raw) @ turn[:, :box]
-            return (task << 32 | number, f["label"].iat[0], f["node"].to_numpy(np.int64).tobytes(), f["weight"].to_numpy(np.int64).tobytes(), raw.tobytes(), y.min(0).tolist(), y.max(0).tolist())
+            return (task << 32 | number, f["label"].iat[0], f["node"].to_numpy(np.int64).tobytes(), f["weight"].to_numpy(np.int64).tobytes(), raw.astype(width).tobytes(), y.min(0).tolist(), y.max(0).tolist())
 
         names = ["block", "label", "nodes", "weights", "vectors", "low", "high"]
         for f in frames:
@@ -154,26 +158,30 @@ def _join(reps: DataFrame, dims: int, least: float, block: int, scratch: Scratch
         pairs = scratch.table(pairs.where(apart <= eps * eps).select("label", "a", "b"), "pairs")
     ids = boxes.select("label", "place", "block")
     pairs = pairs.join(ids.withColumnsRenamed({"place": "a", "block": "block_a"}), ["label", "a"]).join(ids.withColumnsRenamed({"place": "b", "block": "block_b"}), ["label", "b"])
-    body = made.select("block", "nodes", "weights", "vectors")
-    # four megabytes of numbers a pair of blocks: few at a time, dealt over all tasks
-    pairs = pairs.select("block_a", "block_b").join(body.toDF("block_a", "nodes_a", "weights_a", "vectors_a"), "block_a")
-    pairs = pairs.join(body.toDF("block_b", "nodes_b", "weights_b", "vectors_b"), "block_b")
+    # every block meets itself; a row of its own carries it, the others stream past it
+    body, what = made.select("block", "nodes", "weights", "vectors"), ["block_a", "block_b", "nodes", "weights", "vectors"]
+    own = body.select(F.col("block").alias("block_a"), F.lit(None).cast("long").alias("block_b"), "nodes", "weights", "vectors")
+    other = pairs.where("block_a <> block_b").join(body.withColumnRenamed("block", "block_b"), "block_b").select(*what)
+    stream = own.union(other).repartition("block_a").sortWithinPartitions(F.col("block_a"), F.col("block_b").asc_nulls_first())
+    small_batches(reps.sparkSession)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for f in frames:
             for r in f.itertuples(index=False):
-                yield _pairs(r, dims, least)
+                now = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.weights, np.int64), _unit(np.frombuffer(r.vectors, width).reshape(-1, dims).astype(np.float64))
+                if pd.isna(r.block_b):
+                    held = now
+                yield _pairs(held, now, least)
 
-    return pairs.mapInPandas(compare, "a long, b long, links long")
+    return stream.mapInPandas(compare, "a long, b long, links long")
 
 
-def _pairs(r, dims: int, least: float) -> pd.DataFrame:
-    na, nb = np.frombuffer(r.nodes_a, np.int64), np.frombuffer(r.nodes_b, np.int64)
-    wa, wb = np.frombuffer(r.weights_a, np.int64), np.frombuffer(r.weights_b, np.int64)
-    a = _unit(np.frombuffer(r.vectors_a, np.float64).reshape(-1, dims))
-    b = _unit(np.frombuffer(r.vectors_b, np.float64).reshape(-1, dims))
+def _pairs(left: tuple, right: tuple, least: float) -> pd.DataFrame:
+    """Links of two blocks (nodes, weights, unit vectors), or of one with itself."""
+    (na, wa, a), (nb, wb, b) = left, right
     near = a @ b.T >= least
-    if r.block_a == r.block_b:
+    if left is right:
         np.fill_diagonal(near, False)
         counts = [(na, near @ wa)]
     else:

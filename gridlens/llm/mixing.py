@@ -6,13 +6,14 @@ goes to the ancestor's siblings.  A leaf takes whole epochs and, of the next, th
 
 How it scales: DataFrame functions only.  Documents are read for two aggregations and one filter, never sorted as a
 whole: each epoch's order is that of a hash, whose leading bits make ``buckets``; sums over (leaf, bucket) show in which
-bucket a leaf's prefix ends, and only that bucket's rows are ordered.  A leaf with a third of all rows is spread over
-all buckets.
+bucket a leaf's prefix ends, and only that bucket's rows, about ``per_bucket`` at most, are ordered.  A leaf with a third of
+all rows is spread over all buckets.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,17 +86,17 @@ def place(seed: int, epoch: Column, doc_id: Column, tie: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null")), tie).cast("binary"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | None = None, share: float = 1.0, max_epochs: int = 2, seed: int = 17, per_bucket: int = 50_000, scratch: Scratch | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | None = None, share: float = 1.0, max_epochs: int = 2, seed: int = 17, per_bucket: int = 50_000, scratch: Scratch | None = None, domain: Callable[[Column], Column] = domain_of, tokens: Callable[[Column], Column] = tokens_of) -> DataFrame:
     """``docs`` as struct ``row`` with domain, lang, source, tokens, epoch (from 0) of each selected copy.
 
-    total: tokens to select; by default ``share`` times those of docs.  Rows of equal doc_id and text are ordered by their
+    total: tokens to select; by default ``share`` times those of docs.  domain: of a source's name; tokens: of a text.  Rows of equal doc_id and text are ordered by their
     text's hash and then taken or left together by ties: equal rows in an epoch have equal places, and all of them go in if
     the last fits.  Null domains, languages and sources are values of their own; a null doc_id counts as "null"; null and
     empty texts have no tokens and come with whole epochs, or where the prefix reaches them.  An empty table gives an
     empty table.  Columns of docs may have any name.
     """
     rows = packed(docs, "doc_id", "text", "lang", "source")
-    rows = rows.select("row", F.col("in_doc_id").alias("id"), F.md5(F.coalesce(F.col("in_text"), F.lit("")).cast("binary")).alias("tie"), tokens_of(F.col("in_text")).alias("tokens"), domain_of(F.col("in_source")).alias("domain"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"))
+    rows = rows.select("row", F.col("in_doc_id").alias("id"), F.md5(F.coalesce(F.col("in_text"), F.lit("")).cast("binary")).alias("tie"), tokens(F.col("in_text")).alias("tokens"), domain(F.col("in_source")).alias("domain"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"))
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")

@@ -123,5 +123,28 @@ select doc_id, domain, lang, source, tokens, epoch::int as epoch from (select *,
 """
 
 
+#: The template's opening strings by role, the legal successors of each state, as chat.DEFAULT has them.
+_CHAT_SQL = r"""
+with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s as (select *, case when role in ('system', 'user', 'assistant', 'tool') then role else '<other>' end as state,
+    length(text) * 5 - length(replace(text, '\', '')) - length(replace(text, '#', '')) - length(replace(text, ']', '')) - length(replace(text, '<', '')) as body,
+    case role when 'system' then 12 when 'user' then 10 when 'assistant' then 15 when 'tool' then 10 else 8 + length(coalesce(role, '')) * 5 - length(replace(coalesce(role, ''), '\', '')) - length(replace(coalesce(role, ''), '#', '')) - length(replace(coalesce(role, ''), ']', '')) - length(replace(coalesce(role, ''), '<', '')) end as opening from t),
+o as (select *, row_number() over w as i, coalesce(lag(state) over w, '<start>') as before, lead(state) over w is null as last from s window w as (partition by conv_id order by turn nulls first, role nulls first, text)),
+v as (select *, (before = '<start>' and state in ('system', 'user') or before = 'system' and state = 'user' or before = 'user' and state = 'assistant' or before = 'assistant' and state in ('user', 'tool') or before = 'tool' and state = 'assistant')
+    and (not last or state = 'assistant') as valid from o)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' order by i)) as turns_sha256, coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256, sum(opening + body + 8)::bigint as formatted_chars, bool_and(valid) as all_valid from v group by conv_id
+"""
+
+_VECTORS_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+fine as (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+near as (select a.vec_id as p, b.vec_id as q from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93::double),
+c(vec_id, label) using key (vec_id) as (select vec_id, vec_id from v union
+    select n.q, min(c.label) from c join near n on n.p = c.vec_id join recurring.c o on o.vec_id = n.q where c.label < o.label group by n.q)
+select c.vec_id, (select count(*) from near where p = c.vec_id)::bigint as n_links, c.label as component_id, c.vec_id = c.label as kept from c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": _mixing_sql()}
+    return {"op2_chat_format": _CHAT_SQL, "op9_embedding_dedup": _VECTORS_SQL, "op10_mixing": _mixing_sql()}

@@ -4,11 +4,14 @@ A chunk's tokens near its edges may differ from those of the whole text.  Two ne
 position of their overlap where both have a token boundary next to white space and the same ``GUARD`` tokens (ids and
 offsets) on either side: the tokenizer's pieces end at white space, so what stands on one side has no say in the other.
 Where no such position exists (no white space, say) the overlap is widened; in the end the whole text is one chunk.
+Tokenizers whose pieces may run on behind white space, and those of ``.model`` files, get whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,17 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def ends_at_blanks(tok) -> bool:
+    """Whether the tokenizer's pieces never run on from other characters into white space and behind it."""
+    pre = getattr(tok, "pre_tokenizer", None)
+    if pre is None:
+        return False
+    signs = [*string.ascii_letters, *string.digits, *string.punctuation, *"éßñЖя漢あ€—’…", "ab", "12", "don't", "..", "--"]
+    probes = [blank.join(signs) + blank for blank in (" ", "\t", "\n", "  ", "\r\n", "\u3000", "\u00a0")]
+    pieces = [probe[a:b] for probe in probes for _, (a, b) in pre.pre_tokenize_str(probe)]
+    return not any(re.search(r"\S\s", p) for p in pieces)
+
+
 def _tokens(tok, text: str, base: int) -> list[tuple[int, int, int]]:
     e = tok.encode(text, add_special_tokens=False)
     return [(base + a, base + b, i) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
@@ -102,6 +116,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     def count():
         tok = tokenizer(path)
         piece = path.endswith(".model")
+        chunks = not piece and ends_at_blanks(tok)
 
         def whole(texts):
             if piece:
@@ -110,7 +125,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
 
         def run(texts):
             texts = [t or "" for t in texts]
-            out = [count_spliced(tok, t, chunk) if len(t) > chunk and not piece else -1 for t in texts]
+            out = [count_spliced(tok, t, chunk) if len(t) > chunk and chunks else -1 for t in texts]
             small = [i for i, n in enumerate(out) if n < 0]
             for i, n in zip(small, whole([texts[i] for i in small]), strict=True):
                 out[i] = n

@@ -35,6 +35,7 @@ BLOCK = 1 << 18
 STEP = 1 << 15
 SHARD = 2_000_000
 RANGE_ROWS = 2_000
+SAMPLE = 400_000  # doc_ids, of which the ranges are told
 MOST_RANGES = 20_000
 CACHE = 1_500_000
 MAGIC = b"WMX1"
@@ -335,11 +336,13 @@ def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0,
     from pyarrow import fs
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    # ranges of doc_id of about as many rows, from mergeable quantile sketches; a task cuts its range into shards by tokens
+    # ranges of doc_id of about as many rows, by a bounded sample; a task cuts its range into shards by tokens.  Results do not
+    # depend on the sample
     count = rows.count()
     ranges = max(1, min(MOST_RANGES, -(-count // RANGE_ROWS)))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    seen = [r.doc_id for r in rows.select("doc_id").sample(min(1.0, SAMPLE / count), seed=1).where("doc_id is not null").collect()] if ranges > 1 else []
+    seen = np.sort(np.array(seen, np.int64))
+    bounds = np.unique(seen[(np.arange(1, ranges) * len(seen)) // ranges]) if len(seen) else seen
 
     def encode():
         enc = _encoder(path)
