@@ -34,10 +34,8 @@ def test_duplicates_stage(stages):
     rows = sorted((r.doc_id, r.text) for r in before.collect())
     pairs = brute.similar_pairs(rows, 5)
     kept = {r.doc_id for r in after.collect()}
-    sure = brute.components(list(range(len(rows))), [(a, b) for a, b, j in pairs if j >= 0.84])
-    loose = brute.components(list(range(len(rows))), [(a, b) for a, b, j in pairs if j >= 0.76])
-    assert all(rows[i][0] not in kept for i in sure if sure[i] != i)
-    assert all(rows[i][0] in kept for i in loose if loose[i] == i)
+    want = brute.components(list(range(len(rows))), [(a, b) for a, b, j in pairs if j >= 0.8])
+    assert kept == {rows[i][0] for i in want if want[i] == i}
 
 
 def test_decontamination_stage(spark, sf_dir, stages):
@@ -67,8 +65,23 @@ def test_run(spark, sf_dir, stages):
 def test_stages_take_odd_rows(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs, no_docs):
         for _, f in corpus_pipeline.STAGES[:-1]:
-            assert f(spark, docs, sf_dir).columns == docs.columns
-            f(spark, docs, sf_dir).count()
+            out = f(spark, docs, sf_dir)
+            assert out.columns == docs.columns
+            out.count()
+
+
+def test_token_stage_takes_odd_rows(spark, odd_docs, odd_rows, no_docs, clashing_docs, sf_dir):
+    tok = token_counts.tokenizer(queries.tokenizer_path("byte_bpe_50k.json"))
+    stage = corpus_pipeline.STAGES[-1][1]
+    key = lambda rows: sorted((r[0] is None, *r[1:]) if r[0] is None else (False, r[0], r[2], r[3]) for r in rows)
+    want = brute.token_rows([r[:2] for r in odd_rows], tok)
+    for docs in (odd_docs, clashing_docs):
+        got = [tuple(r) for r in stage(spark, docs, sf_dir).collect()]
+        assert key([r for r in got if r[0] is not None]) == key([r for r in want if r[0] is not None])
+        assert sorted(n for d, _, n, _ in got if d is None) == sorted(n for d, _, n, _ in want if d is None)
+        starts = sorted((s, n) for _, s, n, _ in got)
+        assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    assert stage(spark, no_docs, sf_dir).count() == 0
 
 
 def test_components(spark):

@@ -57,3 +57,43 @@ def test_difference_of_parts_and_nothing():
     assert all(sorted(sets[i : i + 3].tolist()) == [0, 1, 2] for i in (0, 3, 6))
     assert sharding.difference([], 3)[1].tolist() == [0, 0, 0]
     assert sharding.difference([5], 1)[1].tolist() == [5]
+
+
+def differencing(sizes, k):
+    """Karmarkar-Karp by the book: lists of (sum, members), the two of largest spread added in opposite order."""
+    parts = [sorted([(s, [i]), *[(0, [])] * (k - 1)], key=lambda x: -x[0]) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b, *rest = parts
+        both = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)]
+        parts = [*rest, sorted(both, key=lambda x: -x[0])]
+    return parts[0]
+
+
+def test_differencing_equals_plain_code():
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 3), (7, 2), (40, 3), (60, 5), (200, 4)):
+        # sizes and their differences all differ, so that no tie leaves a choice
+        sizes = (rng.permutation(n) * 1_000_003 + rng.integers(1, 10**6, n) ** 2).tolist()
+        sets, sums = sharding.difference(sizes, k)
+        want = differencing(sizes, k)
+        assert sums.tolist() == [s for s, _ in want]
+        assert [sorted(np.flatnonzero(sets == j).tolist()) for j in range(k)] == [sorted(m) for _, m in want]
+
+
+def test_query_is_balanced_on_whole_table(spark, sf_dir):
+    """Groups of equal texts against plain differencing of their sizes: the same sums, and nothing but groups in a shard."""
+    from gridlens.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    groups: dict = {}
+    for _, t in docs:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 16
+    got = queries.op1_sharding(spark, sf_dir).collect()
+    sums = defaultdict(int)
+    for r in got:
+        sums[r.shard] += r.size
+    want = [s for s, _ in differencing(sorted(groups.values(), reverse=True), 40)]
+    assert len(got) == len(docs) and sum(sums.values()) == sum(want)
+    assert max(sums.values()) - min(sums.get(k, 0) for k in range(40)) <= max(want) - min(want) + max(groups.values()) // 100
+    assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
