@@ -124,11 +124,16 @@ def dictionary(rows: DataFrame) -> bytes:
     n = F.ceil(F.char_length("text") / PIECE).cast("int")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k"))))
     places = rows.where("text <> ''").select("text", F.posexplode(F.slice(order, 1, most)).alias("turn", "at"))
-    found = places.orderBy("turn", "at.h").select(F.substring("text", F.col("at.k") * PIECE + 1, F.lit(PIECE)).alias("block")).limit(2 * most).collect()
+    pieces = places.select("turn", "at.h", F.substring("text", F.col("at.k") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    # the turns that fill it, at most ``most`` of them; so no more than a dictionary and one turn's pieces leave the tasks
+    room, last = DICTIONARY, -1
+    for r in pieces.groupBy("turn").agg(F.sum(F.octet_length("piece")).alias("n")).orderBy("turn").collect():
+        if room > 0:
+            room, last = room - r.n, r.turn
     parts, size = [], 0
-    for r in found:
+    for r in sorted(pieces.where(F.col("turn") <= last).collect()):
         if size < DICTIONARY:
-            parts.append(r.block.encode("utf-8", "surrogatepass"))
+            parts.append(r.piece.encode("utf-8", "surrogatepass"))
             size += len(parts[-1])
     return b"".join(reversed(parts))[-DICTIONARY:]
 
