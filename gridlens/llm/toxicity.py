@@ -36,6 +36,7 @@ PER_CLASS = 1_500
 PIECE = 1 << 20  # symbols of a long text at a time
 CURVE = 4  # a quarter of the labelled rows is for the curve
 ROUNDS = 4
+LEAST = 0.5  # of the margin
 WINDOWS = 4  # of a labelled text, to learn from
 SYMBOLS = 32
 
@@ -135,10 +136,11 @@ class ToxicityModel:
         return out
 
     def examples(self, text: str, y: int) -> list[bytes]:
-        """The windows of a labelled text to learn from: the best ones of a clean text, of a toxic one the best and those others
-        that the machine takes for toxic too (before it is trained: that come near the best)."""
+        """The windows of a labelled text to learn from: the best two of a clean text, of a toxic one the best and those others that
+        the machine takes for toxic too, halfway to its margin (before it is trained: that come near the best).  Long texts have
+        many windows just over the border, which a lower limit would teach as toxic."""
         found = self.best(symbols(text), WINDOWS)
-        least = found[0][0] / 2 if self.bias is None else -self.bias
+        least = found[0][0] / 2 if self.bias is None else LEAST - self.bias
         return [w.tobytes() for k, (value, w) in enumerate(found) if k == 0 or (k < 2 if y == 0 else value > least)]
 
     @staticmethod
@@ -232,11 +234,13 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, scrat
         fit, rest = rows.where("not curve").select("doc_id", "y", "text"), rows.where("curve").select("doc_id", "y", "text")
         seen = _seen(fit)
         model.contrast(seen[1], seen[0], counts[1, False], counts[0, False])
+        clean: set[bytes] = set()  # of all rounds: a machine that forgot some would take them up again
         for _ in range(ROUNDS):
             learn = lambda: lambda texts, ys: [[model.examples(t, y) for t, y in zip(texts, ys.to_pylist(), strict=True)]]
             found = map_text(fit, learn, "windows array<binary>", given=("y",))
             found = sorted((r.y, r.doc_id, k, bytes(w)) for r in found.collect() for k, w in enumerate(r.windows))  # at most WINDOWS a row
-            model.train(*[[np.frombuffer(w, np.uint32) for z, *_, w in found if z == y] for y in (1, 0)])
+            clean |= {w for y, *_, w in found if y == 0}
+            model.train(*[[np.frombuffer(w, np.uint32) for w in ws] for ws in ([w for y, *_, w in found if y], sorted(clean))])
         told = map_text(rest, lambda: lambda texts: [[model.decision(t) for t in texts]], "x double")
         told = sorted(tuple(r) for r in told.select("doc_id", "y", "x").collect())
         model.fit_curve(np.array([x for *_, x in told]), np.array([y for _, y, _ in told], float))
