@@ -8,7 +8,7 @@ epsilon is dropped, the others split ``FAN``-fold, down to blocks, whose vectors
 How it scales: equal vectors collapse to one with a weight first.  A task takes a block and streams the blocks that it may meet
 past it, in the width that the input has.  Block pairs give link counts and spanning forests, not pairs of vectors, so a
 large group of copies adds no rows.  Vectors of each length are a join of their own, one after another.  The rotation is fitted on ``SAMPLE`` vectors; it serves
-pruning alone, results do not depend on it.
+pruning alone, results do not depend on it.  A window goes over the tasks that made a label's blocks, never over the blocks.
 """
 
 from __future__ import annotations
@@ -134,8 +134,13 @@ def _join(reps: DataFrame, dims: int, least: float, block: int, width: str, scra
             yield pd.DataFrame([closed(held)], columns=names)
 
     made = scratch.table(at.mapInPandas(blocks, "block long, label string, nodes binary, weights binary, vectors binary, low array<double>, high array<double>"), "blocks")
-    boxes = made.select("block", "label", "low", "high", (F.row_number().over(Window.partitionBy("label").orderBy("block")) - 1).alias("place"))
-    boxes = scratch.table(boxes, "boxes")
+    # a block's place in its label's sequence: the blocks of the tasks before, then those before it in its task
+    task = F.shiftright("block", 32).alias("task")
+    sums = made.groupBy("label", task).agg(F.count("*").alias("n"), F.min("block").alias("first"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("label", "task", (ahead - F.col("first")).alias("start"))
+    boxes = made.select("block", "label", "low", "high", task).join(starts, ["label", "task"])
+    boxes = scratch.table(boxes.select("block", "label", "low", "high", (F.col("start") + F.col("block")).alias("place")), "boxes")
     most = boxes.agg(F.max("place")).first()[0] or 0
     levels = [boxes.select("label", F.col("place").cast("long").alias("place"), "low", "high")]
     while most > 0:
