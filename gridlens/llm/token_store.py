@@ -229,6 +229,7 @@ class PieceEncoder:
         none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
         self.levels = [none, none]  # sorted by the first hash: all but the newest, the newest
         self.tokens, self.stops, self.doubt = array(self.kind.char), array("q", [0]), bytearray()
+        self.marks: dict[str, array] = {}  # ids of the marks behind a word, printable ASCII
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
@@ -240,9 +241,14 @@ class PieceEncoder:
         else:
             simple = self.word.fullmatch(piece)
             if simple:
-                for part in simple.groups():
-                    if part:
-                        self.tokens.extend([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))])
+                word, marks = simple.groups()
+                shown = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+                self.tokens.extend([t.id for t in self.model.tokenize(shown)])
+                if marks:
+                    known = self.marks.get(marks)
+                    if known is None:
+                        known = self.marks[marks] = array(self.kind.char, [t.id for t in self.model.tokenize(marks)])
+                    self.tokens.extend(known)
             elif piece:
                 self.tokens.extend(self.tok.encode(piece, add_special_tokens=False).ids)
             # beside a fine cut there must be a mark alone, or a letter or digit
@@ -295,16 +301,14 @@ class PieceEncoder:
         told = lists.flatten().dictionary_encode()
         pieces, codes = told.dictionary.to_pylist(), told.indices.to_numpy()
         place = self._places(pieces)
-        stops = np.frombuffer(self.stops, np.int64)
-        starts, sizes = stops[place], stops[place + 1] - stops[place]
+        known = pa.LargeListArray.from_arrays(pa.array(np.frombuffer(self.stops, np.int64)), pa.array(np.frombuffer(self.tokens, self.kind)))
         doubt = np.frombuffer(self.doubt, np.uint8)[place].astype(bool)
-        n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(self.tokens, self.kind)[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], n)]
+        joined = known.take(pa.array(place)).take(told.indices)
+        ids, ends = joined.values.to_numpy(), joined.offsets.to_numpy()
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         unsure = np.logical_or.reduceat(doubt[codes], cuts[:-1]).tolist() if fine else [False] * len(texts)
         at = ends[cuts].tolist()
-        del stops  # a view; the arrays grow again
+        del known  # a view; the arrays grow again
         return [None if u else ids[a:b] for u, a, b in zip(unsure, at, at[1:], strict=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
