@@ -1,6 +1,7 @@
 """Shapes on sheets: neighbours within a gap, and the blocks that they form.
 
 Boxes are dealt to squares of one gap's size by their corners' ranges, so the distance join is an equi-join on squares.
+It goes by a shuffle: Spark takes boxes times squares for no larger than the boxes' file, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ def gap_edges(shapes: DataFrame, keys: Iterable[str] = SHEET, gap_x: int = GAP_X
     far = far.select(*keys, "sx", "sy", *[F.col(c).alias(f"o_{c}") for c in ("no", "left", "top", "right", "bottom")])
     dx = F.greatest(F.lit(0), F.col("o_left") - F.col("right"), F.col("left") - F.col("o_right"))
     dy = F.greatest(F.lit(0), F.col("o_top") - F.col("bottom"), F.col("top") - F.col("o_bottom"))
-    near = own.join(far, [*keys, "sx", "sy"]).where((F.col("no") != F.col("o_no")) & (dx <= gap_x) & (dy <= gap_y))
-    return near.select(*keys, F.least("no", "o_no").alias("a"), F.greatest("no", "o_no").alias("b")).distinct()
+    # a pair shares many squares: it counts in the least of them, seen from its lesser number
+    first = (F.col("sx") == F.floor(F.greatest(F.col("left"), F.col("o_left") - gap_x) / gap_x)) & (F.col("sy") == F.floor(F.greatest(F.col("top"), F.col("o_top") - gap_y) / gap_y))
+    near = own.join(far.hint("merge"), [*keys, "sx", "sy"]).where((F.col("no") < F.col("o_no")) & first & (dx <= gap_x) & (dy <= gap_y))
+    return near.select(*keys, F.col("no").alias("a"), F.col("o_no").alias("b"))
 
 
 def groups(nodes: DataFrame, edges: DataFrame, keys: Iterable[str] = SHEET, node: str = "no") -> DataFrame:
@@ -62,7 +65,7 @@ def blocks(shapes: DataFrame, keys: Iterable[str] = SHEET) -> DataFrame:
     """One row a group of near shapes: *keys, its cells' box and the shapes' numbers."""
     keys = list(keys)
     own = groups(shapes, gap_edges(shapes, keys), keys)
-    at = shapes.join(own, [*keys, "no"])
+    at = shapes.join(own.hint("merge"), [*keys, "no"])
     cell = lambda c, size: (F.floor(c / size) + 1).cast("int")
     out = at.groupBy(*keys, "component").agg(
         cell(F.min("top"), CELL_HEIGHT).alias("start_row"), cell(F.min("left"), CELL_WIDTH).alias("start_col"),
