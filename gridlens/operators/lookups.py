@@ -28,9 +28,10 @@ MOST_RANGES = 20_000
 
 
 def with_position(table: DataFrame, *order: str) -> DataFrame:
-    """``table`` with ``pos`` from 1 in the given order, by range partitions: no window over the whole table."""
+    """``table`` with ``pos`` from 1 in the given order, by range partitions: no window over the whole table.  The numbers within
+    partitions are written once: ranges are sampled and partitions coalesced anew wherever a plan computes them again."""
     ranked = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = ranked.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    ranked = written(ranked.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()), "positions")
     counts = ranked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_part", "_first", before.alias("_before"))

@@ -1,8 +1,23 @@
 """What goes wrong only on larger tables, shown on small ones."""
 
 import random
+from contextlib import contextmanager
 
-from gridlens.operators import shapes
+from gridlens.operators import lookups, shapes
+from pyspark.sql import functions as F
+
+
+@contextmanager
+def settings(spark, **values):
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def plan(df):
@@ -35,3 +50,11 @@ def test_blocks_are_not_broadcast(spark, tmp_path):
     blocks = shapes.blocks(df, ["s"])
     assert "Broadcast" not in plan(blocks)
     assert sorted(n for b in blocks.collect() for n in b.shapes) == [r[1] for r in rows]
+
+
+def test_positions_where_partitions_coalesce(spark):
+    """Partitions of the wide rows and of their counts coalesce differently."""
+    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="256k", spark__sql__adaptive__coalescePartitions__parallelismFirst="false", spark__sql__shuffle__partitions="8"):
+        wide = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.concat_ws("", *[F.md5(F.concat("id", F.lit(i))) for i in range(4)]).alias("text"))
+        got = lookups.with_position(wide, "k").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == F.col("k") + 1).alias("right"), F.max("text")).first()
+    assert (got.n, got.right) == (20_000, 20_000)
