@@ -4,6 +4,7 @@ import random
 from contextlib import contextmanager
 
 from gridlens.operators import lookups, shapes
+from gridlens.plans import evaluate
 from pyspark.sql import functions as F
 
 
@@ -58,3 +59,17 @@ def test_positions_where_partitions_coalesce(spark):
         wide = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.concat_ws("", *[F.md5(F.concat("id", F.lit(i))) for i in range(4)]).alias("text"))
         got = lookups.with_position(wide, "k").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == F.col("k") + 1).alias("right"), F.max("text")).first()
     assert (got.n, got.right) == (20_000, 20_000)
+
+
+def test_workbooks_stay_whole_where_joins_are_replanned(spark):
+    """The parts of the union are dealt by workbook already, and adaptive execution then joins them by broadcast."""
+    n = spark.range(3000).select((F.col("id") % 100).cast("string").alias("workbook"), F.floor(F.col("id") / 100).cast("int").alias("row"))
+    no = F.lit(None).cast("string")
+    given = n.groupBy("workbook", "row").agg(F.lit(1).alias("col"), F.max("row").cast("string").alias("value")).withColumn("formula", no)
+    sums = n.groupBy("workbook", "row").agg(F.lit(2).alias("col")).select("workbook", "row", "col", no.alias("value"), F.lit("=SUM(A1:A29)").alias("formula"))
+    cells = given.unionByName(sums).where("row > 0").select("workbook", F.lit(0).alias("sheet_index"), F.lit("S").alias("sheet_name"), F.lit(0).alias("ord"), "row", "col", "formula", F.col("formula").isNotNull().alias("pending"), F.lit(False).alias("empty"), "value")
+    names = spark.createDataFrame([], "workbook string, sheet string, name string, formula string")
+    tables = spark.createDataFrame([], "workbook string, sheet string, name string, start string, end string, columns array<string>, header_rows int, totals_rows int")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="10m", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        got = evaluate.resolve(cells, names, tables).select("resolved").collect()
+    assert len(got) == 2900 and {r.resolved for r in got} == {"435"}
