@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .coerce import BLANKS
+from .coerce import BLANKS, let
 
 INLINE_BLANK = "[" + BLANKS.replace("\\n", "") + "]"
 #: Control and format characters that Markdown must not carry.  Fixed values.
@@ -127,14 +127,16 @@ def internal_link(label: Column, sheet: Column, ref: Column, known: Column) -> C
 def table(rows: Column, first_is_header: bool = True) -> Column:
     """A Markdown table of array<array<string>>; without a header row the head is blank, and a single header row gets a
     blank body row."""
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: table_cell(c)), " | "), F.lit(" |"))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    blank = F.array_repeat(F.lit(""), width)
-    full = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    if first_is_header:
-        body = F.when(F.size(full) > 1, F.slice(full, F.lit(2), F.size(full) - 1)).otherwise(F.array(blank))
-        head = full[0]
-    else:
-        head, body = blank, full
-    return F.when(F.size(rows) > 0, F.concat_ws("\n", line(head), rule, F.array_join(F.transform(body, line), "\n"))).otherwise("")
+    def made(rows: Column, width: Column) -> Column:
+        padded = lambda cells: F.concat(F.transform(cells, lambda c: table_cell(c)), F.array_repeat(F.lit(""), width - F.size(cells)))
+        line = lambda cells: F.concat(F.lit("| "), F.array_join(padded(cells), " | "), F.lit(" |"))
+        blank = line(F.array().cast("array<string>"))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        if first_is_header:
+            head, body = line(rows[0]), F.when(F.size(rows) > 1, F.transform(F.slice(rows, F.lit(2), F.size(rows) - 1), line)).otherwise(F.array(blank))
+        else:
+            head, body = blank, F.transform(rows, line)
+        return F.when(F.size(rows) > 0, F.concat_ws("\n", head, rule, F.array_join(body, "\n"))).otherwise("")
+
+    # the width is known before any row is written: inside a row's expression it would be a pass over all rows
+    return let(rows, lambda rows: let(F.array_max(F.transform(rows, lambda r: F.size(r))), lambda width: made(rows, width)))

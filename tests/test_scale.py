@@ -1,10 +1,12 @@
 """What goes wrong only on larger tables, shown on small ones."""
 
 import random
+import time
 from contextlib import contextmanager
 
 import duckdb
 from gridlens import catalog
+from gridlens.functions import markdown
 from gridlens.operators import lookups, shapes
 from gridlens.plans import evaluate
 from pyspark.sql import functions as F
@@ -92,3 +94,13 @@ def test_large_sums_are_written_without_an_exponent(spark, tmp_path):
     rows = [(i, f"Customer#{i}", i % 2, 9_999_999.25 + i, "MACHINERY") for i in range(6)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     equals_sql(spark, "workbook_formulas", tmp_path, "customer")
+
+
+def test_long_tables_are_written_in_linear_time(spark):
+    """The width was looked for among all rows again for each row."""
+    n = 30_000
+    rows = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array(i.cast("string"), F.lit("x")))
+    began = time.time()
+    text = spark.range(1).select(rows.alias("rows")).select(markdown.table(F.col("rows")).alias("t")).first().t
+    assert text.split("\n")[:3] == ["| 1 | x |", "| --- | --- |", "| 2 | x |"] and text.endswith(f"| {n} | x |") and text.count("\n") == n
+    assert time.time() - began < 10
