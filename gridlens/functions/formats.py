@@ -190,14 +190,17 @@ def _date_in_way(day: Column, second: Column, way: str) -> Column:
 
 
 def half_away(x: Column, digits: int | Column) -> Column:
-    """The shortest decimal rounded, halves away from zero; digits from a column beyond 6 round the double itself."""
+    """The shortest decimal rounded, halves away from zero; digits from a column beyond 6 round the double itself.  A number
+    below zero that rounds to it keeps its sign (``round`` has no -0.0)."""
+    size = F.abs(x)
     if isinstance(digits, int):
-        return F.round(x, digits)
-    f = F.pow(F.lit(10.0), digits)
-    out = F.signum(x) * F.floor(F.abs(x) * f + 0.5) / f
-    for n in range(6, -1, -1):
-        out = F.when(digits == n, F.round(x, n)).otherwise(out)
-    return out
+        out = F.round(size, digits)
+    else:
+        f = F.pow(F.lit(10.0), digits)
+        out = F.floor(size * f + 0.5) / f
+        for n in range(6, -1, -1):
+            out = F.when(digits == n, F.round(size, n)).otherwise(out)
+    return F.when(x < 0, -1.0).otherwise(1.0) * out
 
 
 def fixed(x: Column, digits: int | Column, commas: bool | Column) -> Column:

@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 import duckdb
 from gridlens import catalog
-from gridlens.functions import markdown
+from gridlens.functions import formats, markdown
 from gridlens.operators import lookups, shapes
 from gridlens.plans import evaluate
 from pyspark.sql import functions as F
@@ -96,6 +96,21 @@ def test_large_sums_are_written_without_an_exponent(spark, tmp_path):
     equals_sql(spark, "workbook_formulas", tmp_path, "customer")
 
 
+def test_balances_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    """None of the 15,000 balances of sf0.1 lies between -0.05 and 0."""
+    balances = [-0.01, -0.04, -0.05, -0.06, 0.0, -0.0, 0.04, 0.05, -1234.56, 1234.55, -758.25]
+    rows = [(i, f"Customer#{i}", i % 2, x, "MACHINERY") for i, x in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    equals_sql(spark, "workbook_cells", tmp_path, "customer")
+
+
+def test_signs_of_zero_by_format(spark):
+    cases = [("-0.04", "#,##0.0", "-0.0"), ("-0.4", "0", "-0"), ("-0.05", "0.0", "-0.1"), ("0.04", "0.0", "0.0"), ("0", "0.00", "0.00"), ("-0.0000000004", "0.00000000", "-0.00000000"), ("-1234.5", "#,##0", "-1,235")]
+    for raw, code, want in cases:
+        literal, column = formats.display(F.lit(raw), code), formats.display(F.lit(raw), F.lit(code), F.lit(0))
+        assert tuple(spark.range(1).select(literal.alias("x"), column.alias("y")).first()) == (want, want)
+
+
 def test_long_tables_are_written_in_linear_time(spark):
     """The width was looked for among all rows again for each row."""
     n = 30_000
