@@ -191,7 +191,7 @@ def _date_in_way(day: Column, second: Column, way: str) -> Column:
 
 def half_away(x: Column, digits: int | Column) -> Column:
     """The shortest decimal rounded, halves away from zero; digits from a column beyond 6 round the double itself.  A number
-    below zero that rounds to it keeps its sign (``round`` has no -0.0)."""
+    below zero that rounds to it keeps its sign, and so does -0.0 (``round`` has none)."""
     size = F.abs(x)
     if isinstance(digits, int):
         out = F.round(size, digits)
@@ -200,7 +200,7 @@ def half_away(x: Column, digits: int | Column) -> Column:
         out = F.floor(size * f + 0.5) / f
         for n in range(6, -1, -1):
             out = F.when(digits == n, F.round(size, n)).otherwise(out)
-    return F.when(x < 0, -1.0).otherwise(1.0) * out
+    return F.when(x == 0, x).when(x < 0, -1.0 * out).otherwise(out)
 
 
 def fixed(x: Column, digits: int | Column, commas: bool | Column) -> Column:

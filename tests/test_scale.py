@@ -104,6 +104,22 @@ def test_balances_that_round_to_zero_keep_their_sign(spark, tmp_path):
     equals_sql(spark, "workbook_cells", tmp_path, "customer")
 
 
+def test_negative_zeros_are_as_in_sql(spark, tmp_path):
+    """A balance of -0.0 has a sign where the SQL formats it, and none where the SQL takes sign() of it."""
+    balances = [-0.0, 0.0, -0.01, -0.0, 12.5, -0.0, -758.25, 0.01]
+    rows = [(i, f"Customer#{i}", i % 2, x, "MACHINERY") for i, x in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("workbook_end_to_end", "workbook_links", "workbook_matrices"):
+        equals_sql(spark, name, tmp_path, "customer")
+
+
+def test_negative_zeros_by_format(spark):
+    cases = [("-0.0", "#,##0.00", "-0.00"), ("-0", "0", "-0"), ("0.0", "0.00", "0.00"), ("-0.0", '"¥"#,##0', "¥0"), ("-0.0", '0.0;-0.0;"-"', "-"), ("-0.0", "0.00000000", "-0.00000000")]
+    for raw, code, want in cases:
+        literal, column = formats.display(F.lit(raw), code), formats.display(F.lit(raw), F.lit(code), F.lit(0))
+        assert tuple(spark.range(1).select(literal.alias("x"), column.alias("y")).first()) == (want, want)
+
+
 def test_signs_of_zero_by_format(spark):
     cases = [("-0.04", "#,##0.0", "-0.0"), ("-0.4", "0", "-0"), ("-0.05", "0.0", "-0.1"), ("0.04", "0.0", "0.0"), ("0", "0.00", "0.00"), ("-0.0000000004", "0.00000000", "-0.00000000"), ("-1234.5", "#,##0", "-1,235")]
     for raw, code, want in cases:
