@@ -109,7 +109,7 @@ def test_negative_zeros_are_as_in_sql(spark, tmp_path):
     balances = [-0.0, 0.0, -0.01, -0.0, 12.5, -0.0, -758.25, 0.01]
     rows = [(i, f"Customer#{i}", i % 2, x, "MACHINERY") for i, x in enumerate(balances)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
-    for name in ("workbook_end_to_end", "workbook_links", "workbook_matrices"):
+    for name in ("workbook_end_to_end", "workbook_archives", "workbook_links", "workbook_matrices"):
         equals_sql(spark, name, tmp_path, "customer")
 
 
